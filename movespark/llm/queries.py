@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op1_mix_sources
 from .quality import op10_quality_rules
+from .secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
