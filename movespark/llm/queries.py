@@ -10,9 +10,11 @@ from .bpe import op7_bpe
 from .mixing import op1_mix_sources
 from .quality import op10_quality_rules
 from .secrets import op9_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
