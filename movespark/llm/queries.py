@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .mixing import op1_mix_sources
+from .ngram_join import op8_ngram_jaccard
 from .quality import op10_quality_rules
 from .secrets import op9_secret_scan
 from .toxicity import op6_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
