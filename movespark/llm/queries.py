@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .embeddings import op5_embedding_near_dedup
 from .mixing import op1_mix_sources
 from .ngram_join import op8_ngram_jaccard
 from .quality import op10_quality_rules
@@ -15,6 +16,7 @@ from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_ngram_jaccard": op8_ngram_jaccard,
