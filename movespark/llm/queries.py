@@ -13,9 +13,11 @@ from .ngram_join import op8_ngram_jaccard
 from .quality import op10_quality_rules
 from .secrets import op9_secret_scan
 from .toxicity import op6_toxicity
+from .urls import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_url_filter": op3_url_filter,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
