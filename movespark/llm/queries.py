@@ -10,6 +10,7 @@ from .bpe import op7_bpe
 from .embeddings import op5_embedding_near_dedup
 from .mixing import op1_mix_sources
 from .ngram_join import op8_ngram_jaccard
+from .pii import op4_pii
 from .quality import op10_quality_rules
 from .secrets import op9_secret_scan
 from .toxicity import op6_toxicity
@@ -18,6 +19,7 @@ from .urls import op3_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
