@@ -12,12 +12,14 @@ from .mixing import op1_mix_sources
 from .ngram_join import op8_ngram_jaccard
 from .pii import op4_pii
 from .quality import op10_quality_rules
+from .scoring import op2_lm_scores
 from .secrets import op9_secret_scan
 from .toxicity import op6_toxicity
 from .urls import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_lm_scores": op2_lm_scores,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
