@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import discard, documents, stage
 
 MAGIC = b"MADT0001"
+#: Longer pieces are merged one by one; NONE is above every rank.
+LONG, NONE = 256, 1 << 30
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -131,8 +133,8 @@ class Lexicon:
             alive = alive[~ended]
         return out
 
-    def ids_of(self, rank: int) -> list[int]:
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()
+    def ids_of(self, rank: int) -> bytes:
+        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].astype("<u4").tobytes()
 
 
 # ---------------------------------------------------------------- codec
@@ -152,15 +154,20 @@ def _byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes chunks (runs without white space), which never share a token with one another."""
 
-    def __init__(self, spec: dict, lexicon: Lexicon | None = None, memo: int = 150_000):
+    def __init__(self, spec: dict, lexicon: Lexicon | None = None, memo: int = 400_000):
         model = spec["model"]
         self.vocab, self.lexicon, self.most = model["vocab"], lexicon, memo
         self.suffix = model["end_of_word_suffix"] or ""
         self.letters = _byte_letters()
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        keys = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ranks, self.pair_ids = np.array(list(self.merges.values()), np.int64)[order].T.copy()
         self.first = [self.vocab[c] for c in self.letters]
         self.final = [self.vocab[c + self.suffix] for c in self.letters]
+        self.first_ids, self.final_ids = np.array(self.first), np.array(self.final)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t.encode() for t, i in (self.vocab | self.special).items()}
         cut = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
@@ -168,26 +175,61 @@ class Codec:
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, tuple[bytes, bytes]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Exact merges, lowest rank first and leftmost among equals."""
-        ids = [self.first[b] for b in piece[:-1]] + [self.final[piece[-1]]]
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((m for p in zip(ids, ids[1:]) if (m := merges.get(p))), default=None)
-            if best is None:
-                break
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and merges.get((ids[k], ids[k + 1])) == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (little-endian, 32 bits) by exact merges, lowest rank first and leftmost among equals.
+
+        All pieces take a step together: each merges the best of its pairs, until none has any.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        short = []
+        for k, p in enumerate(pieces):
+            if len(p) > LONG:
+                out[k] = np.array(self._merge_long([self.first[b] for b in p[:-1]] + [self.final[p[-1]]]), "<u4").tobytes()
+            elif p:
+                short.append(k)
+        if not short:
+            return out
+        who, size = np.array(short), np.array([len(pieces[k]) for k in short])
+        ids = self.first_ids[np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)]
+        end = np.cumsum(size)
+        ids[end - 1] = self.final_ids[np.frombuffer(bytes([pieces[k][-1] for k in short]), np.uint8)]
+        # the rank of the pair that begins at each symbol, and at a piece's last one none
+        rank, new = self._ranks(ids, np.append(ids[1:], 0))
+        rank[end - 1] = NONE
+        while len(who):
+            start = end - size
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            going = best >> 32 < NONE
+            if not going.all():
+                for k in np.flatnonzero(~going).tolist():
+                    out[who[k]] = ids[start[k] : end[k]].astype("<u4").tobytes()
+                stay = np.repeat(going, size)
+                ids, rank, new = ids[stay], rank[stay], new[stay]
+                who, size, best = who[going], size[going], best[going]
+                if not len(who):
+                    break
+                at = (best & 0xFFFFFFFF) - (np.cumsum(~stay)[best & 0xFFFFFFFF])
+            else:
+                at = best & 0xFFFFFFFF
+            ids[at] = new[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            last = at + 2 == np.cumsum(size)
+            ids, rank, new = ids[keep], rank[keep], new[keep]
+            size = size - 1
+            end = np.cumsum(size)
+            at = at - np.arange(len(at))  # one symbol has gone in each piece before
+            rank[at], new[at] = self._ranks(ids[at], ids[np.minimum(at + 1, len(ids) - 1)])
+            rank[at[last]] = NONE
+            left = at[at > end - size] - 1
+            rank[left], new[left] = self._ranks(ids[left], ids[left + 1])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        ok = self.pair_keys[at] == key
+        return np.where(ok, self.pair_ranks[at], NONE), self.pair_ids[at]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, for pieces of any length."""
@@ -229,10 +271,13 @@ class Codec:
         cut = [self.pieces(c) for c in chunks]
         new = list(dict.fromkeys(p for ps in cut for p in ps if isinstance(p, bytes)))
         ranks = self.lexicon.ranks(new).tolist() if self.lexicon else [-1] * len(new)
-        ids_of = {p: self.lexicon.ids_of(r) if r >= 0 else self.merge(p) for p, r in zip(new, ranks)}
+        unseen = [p for p, r in zip(new, ranks) if r < 0]
+        ids_of: dict[bytes | int, bytes] = dict(zip(unseen, self.merge(unseen)))
+        ids_of |= {p: self.lexicon.ids_of(r) for p, r in zip(new, ranks) if r >= 0}
+        ids_of |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         for chunk, ps in zip(chunks, cut):
-            ids = [i for p in ps for i in ((p,) if isinstance(p, int) else ids_of[p])]
-            self.memo[chunk] = np.array(ids, "<u4").tobytes(), b" ".join(map(self.text.__getitem__, ids))
+            ids = ids_of[ps[0]] if len(ps) == 1 else b"".join([ids_of[p] for p in ps])
+            self.memo[chunk] = ids, self.decode(ids)
 
     def split(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
@@ -259,9 +304,8 @@ class Codec:
                 yield b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])
             lo = hi
 
-
     def decode(self, ids: bytes) -> bytes:
-        return b" ".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b" ".join([self.text[i] for i in memoryview(ids).cast("I")])
 
 
 # ---------------------------------------------------------------- operator
@@ -285,17 +329,19 @@ def frequent_words(docs: DataFrame, most: int = 49_152, per_task: int = 65_536)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    counts = stage(counts, "words")
+    total = counts.agg(F.sum("n")).collect()[0][0] or 0
+    # no more than 16 times the words asked for can be this frequent, which bounds what is sent to the driver
+    often = counts.where(F.col("n") * (16 * most) >= total)
+    words = [r.word for r in often.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    discard(counts)
+    return words
 
 
 def build_lexicon(spec: dict, words: list[str]) -> bytes:
     codec = Codec(spec)
-    entries: dict[bytes, list[int]] = {}
-    for w in words:
-        for p in codec.pieces(w):
-            if isinstance(p, bytes) and p not in entries and len(p) <= 64:
-                entries[p] = codec.merge(p)
-    return compile_lexicon(entries)
+    pieces = list(dict.fromkeys(p for w in words for p in codec.pieces(w) if isinstance(p, bytes) and len(p) <= 64))
+    return compile_lexicon({p: np.frombuffer(ids, "<u4").tolist() for p, ids in zip(pieces, codec.merge(pieces))})
 
 
 SCHEMA = "n_tokens long, ids binary, decoded string"
