@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from ..functions.tracks import track, micros, prev, step_back
+from ..functions.tracks import micros, prev, step_back
 
 POINT_COLUMNS = ("agent_id", "track_no", "track_id", "seq", "time", "x", "y", "tie")
 
@@ -58,6 +59,8 @@ def dataset_meta(points: DataFrame, static: DataFrame | None = None) -> DataFram
 
 def agent_static_mode(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Static columns by agent: the most frequent value that isn't null, the lowest among equals."""
+    if not columns:
+        return rows.select("agent_id").distinct()
     return rows.groupBy("agent_id").agg(*[F.mode(c, True).alias(c) for c in columns])
 
 
@@ -68,7 +71,7 @@ def longest_tracks(tracks: DataFrame, k: int = 10) -> DataFrame:
 def status_share(points: DataFrame, column: str) -> DataFrame:
     """How often an agent has each value, and its share of the agent's points."""
     n = points.groupBy("agent_id", column).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(track().partitionBy("agent_id").rowsBetween(-(2**63), 2**63 - 1)))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("agent_id")))
 
 
 def describe_by(rows: DataFrame, by: str, value: str) -> DataFrame:

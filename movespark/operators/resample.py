@@ -85,7 +85,7 @@ def smooth_corners(points: DataFrame, refinements: int = 2) -> DataFrame:
     out = points.select(*KEY, "seq", micros(F.col("time")).cast("double").alias("__t"), "x", "y")
     for _ in range(refinements):
         cut = lambda other: F.struct(*[(F.col(c) * 0.75 + F.coalesce(other(c), F.col(c)) * 0.25).alias(c) for c in ("__t", "x", "y")])
-        both = out.select(*KEY, "seq", F.posexplode(F.array(cut(prev), cut(nxt))).alias("k", "p"))
+        both = out.withColumn("__c", F.array(cut(prev), cut(nxt))).select(*KEY, "seq", F.posexplode("__c").alias("k", "p"))
         out = both.select(*KEY, (F.col("seq") * 2 + F.col("k")).alias("seq"), "p.*")
     return out.select(*KEY, F.col("seq").cast("int").alias("seq"), from_micros(F.round("__t")).alias("time"), "x", "y", F.col("seq").cast("long").alias("tie"))
 

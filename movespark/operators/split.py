@@ -19,7 +19,7 @@ _IDS = ("track_no", "track_id", "seq")
 
 def numbered(points: DataFrame, fresh: Column) -> DataFrame:
     """Tracks from a flag that is true where a new one begins, in the order of an agent's points."""
-    out = points.drop(*_IDS).withColumn("track_no", (F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(agent().rowsBetween(-(2**31), 0))).cast("int"))
+    out = points.drop(*_IDS).withColumn("track_no", (F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(agent().rowsBetween(-(2**63), 0))).cast("int"))
     return with_ids(out)
 
 
