@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, stage
+from .common import discard, documents, fold, stage
 
 #: A term: letters and digits; bytes over 127 (parts of characters outside ASCII) count as letters.
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -44,8 +44,12 @@ def base_rate(labels: DataFrame) -> float:
     return min(max(row.rate or 0.0, 1e-4), 0.5)
 
 
-def telling_terms(docs: DataFrame, examples: dict[int, int], most: int, least_g2: float = 15.0) -> list[bytes]:
-    """Terms whose presence in the examples goes with the label (likelihood ratio over least_g2), most telling first."""
+def telling_terms(docs: DataFrame, examples: dict[int, int], most: int, least_g2: float = 15.0, lift: float = 3.0) -> list[bytes]:
+    """Terms whose presence in the examples goes with the label, most telling first.
+
+    The likelihood ratio is over least_g2, one class has the term `lift` times as often as the other, and at
+    least one in 200 of a class has it: common words of both classes say nothing, rare ones little.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(examples)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,10 +78,25 @@ def telling_terms(docs: DataFrame, examples: dict[int, int], most: int, least_g2
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
 
     g2 = 2 * (part(F.col("a"), n1 * rate) + part(F.col("b"), n0 * rate) + part(n1 - F.col("a"), n1 * (1 - rate)) + part(n0 - F.col("b"), n0 * (1 - rate)))
+    pa_, pb = F.col("a") / n1, F.col("b") / n0
+    by = by.where((F.greatest(pa_, pb) >= lift * F.least(pa_, pb)) & (F.greatest(pa_, pb) >= 0.005))
     by = by.where(rate < 1).withColumn("g2", g2).where(F.col("g2") >= least_g2)
     return [bytes(r.term) for r in by.orderBy(F.desc("g2"), "term").limit(most).select("term").collect()]
 
 
+def term_counts(text: bytes | None, number: dict[bytes, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The numbers of a text's telling terms, ascending, and how often it has each."""
+    seen: dict[int, int] = {}
+    if text:
+        words = TERM.findall(text.lower())
+        if not number.keys().isdisjoint(words):
+            for k in map(number.get, words):
+                if k is not None:
+                    seen[k] = seen.get(k, 0) + 1
+    terms = tuple(sorted(seen))
+    return terms, tuple(seen[k] for k in terms)
+
+
 def vectors(docs: DataFrame, terms: list[bytes], keep: list[str]) -> DataFrame:
     """The columns named in keep, with the numbers and counts of the telling terms of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
@@ -86,19 +105,9 @@ def vectors(docs: DataFrame, terms: list[bytes], keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = sent.value
         for batch in batches:
-            terms, tfs = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                seen: dict[int, int] = {}
-                if t:
-                    words = TERM.findall(t.lower())
-                    if not number.keys().isdisjoint(words):
-                        for k in map(number.get, words):
-                            if k is not None:
-                                seen[k] = seen.get(k, 0) + 1
-                terms.append(sorted(seen))
-                tfs.append([seen[k] for k in sorted(seen)])
+            found = [term_counts(t, number) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(terms, kind), pa.array(tfs, kind)], names=[*keep, "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=[*keep, "terms", "tfs"])
 
     return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("binary").alias("__text")).mapInArrow(run, what)
 
@@ -197,25 +206,35 @@ class Index:
         return float(min(max(score, 0.0), 1.0)), self.ids[at[:3]].tolist()
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000, most_terms: int = 1024) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int, most_terms: int, found: list | None = None) -> tuple[Index, list[bytes]]:
+    """The index of examples and the telling terms. If found is a list, the staged vectors of docs are put there."""
+    examples = labelled(labels, folds, held, per_class)
+    terms = telling_terms(docs, examples, most_terms) if examples else []
+    made = stage(vectors(docs, terms, ["doc_id"]), "terms")
+    n = made.count()
+    df = np.zeros(max(1, len(terms)))
+    for r in made.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+        df[r.t] = r["count"]
+    idf = np.log((n + 1) / (df + 1)) + 1
+    ids = docs.sparkSession.createDataFrame([(d,) for d in examples], "doc_id long")
+    rows = [(r.doc_id, r.terms, r.tfs) for r in made.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()]
+    if found is None:
+        discard(made)
+    else:
+        found.append(made)
+    return Index.build(rows, examples, idf, base_rate(labels)), terms
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000, most_terms: int = 256) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence), one for each row of docs.
 
     Null and empty texts have no terms and get the score of labelled texts without terms. Only doc_id and text of
     docs are read, and doc_id only to find labelled texts. Ties among neighbours go to the example of
     smaller position; repeated rows get equal scores. Without labels every score is the smallest base rate.
     """
-    sc = docs.sparkSession.sparkContext
-    examples = labelled(labels, folds, held, per_class)
-    terms = telling_terms(docs, examples, most_terms) if examples else []
-    found = stage(vectors(docs, terms, ["doc_id"]), "terms")
-    n = found.count()
-    df = np.zeros(max(1, len(terms)))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r.t] = r["count"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    ids = docs.sparkSession.createDataFrame([(d,) for d in examples] or [], "doc_id long")
-    rows = [(r.doc_id, r.terms, r.tfs) for r in found.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()]
-    sent = sc.broadcast(Index.build(rows, examples, idf, base_rate(labels)))
+    made: list[DataFrame] = []
+    index, _ = learn(docs, labels, folds, held, per_class, most_terms, made)
+    found, sent = made[0], docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memo = sent.value, {}
@@ -239,5 +258,30 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with their columns, whose whole text isn't predicted to be toxic. Labels teach, but decide on no document.
+
+    Scores are made by row and not joined back by id, so null and repeated ids are no matter.
+    """
+    model, terms = learn(docs, labels, folds=0, held=0, per_class=4000, most_terms=256)
+    sent = docs.sparkSession.sparkContext.broadcast((model, {t: k for k, t in enumerate(terms)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, number = sent.value
+        memo: dict[tuple, bool] = {}
+        for batch in batches:
+            keep = []
+            for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
+                key = term_counts(t, number)
+                if key not in memo:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    memo[key] = index.score(*key)[0] < 0.5
+                keep.append(memo[key])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
