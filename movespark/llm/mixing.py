@@ -135,7 +135,7 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     """
     mixed = mix(docs, keep=docs.columns, **options)
     taken = F.filter(F.arrays_zip("positions", "parts"), lambda z: z["positions"].isNotNull() & (2 * z["parts"] >= F.col("size")))
-    once = mixed.select("doc", F.explode(taken)["positions"].alias("position"))
+    once = mixed.select("doc", F.explode(taken).alias("z")).select("doc", F.col("z.positions").alias("position"))
     sort = once.repartitionByRange(F.col("position")).sortWithinPartitions("position")
     return sort.select("doc.*")
 
