@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from movespark.llm.bpe import encode
 from movespark.llm.common import documents, stage
 from movespark.llm.mixing import curriculum
+from movespark.llm.ngram_join import keep_one
+from movespark.llm.secrets import redact
+from movespark.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one of smallest id."""
+    return keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +32,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum(docs)
 
 
-STAGES = [("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns but text, with n_tokens, ids and the text decoded from them."""
+    return encode(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
 #: Scores of learned models and token ids can't be expressed in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
