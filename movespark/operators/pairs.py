@@ -60,21 +60,25 @@ def _segs(points: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
                       *[F.col(c).alias(f"{c}_a{k}") for c in columns], *[F.col(f"__n_{c}").alias(f"{c}_b{k}") for c in columns])
 
 
-def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float = 50.0, columns: Sequence[str] = ()) -> DataFrame:
+def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float = 50.0, columns: Sequence[str] = (), bucket: float = 43_200) -> DataFrame:
     """Crossings of two tracks' segments whose times there differ by no more than `time` seconds, values by straight lines.
 
-    Segments meet by the cells of a grid that their boxes cover; a pair counts in the lowest cell that both cover.
+    Segments meet by the cells of a grid in space and time (`bucket` seconds) that they cover; a pair counts in the lowest
+    cell that both cover. Smaller cells mean fewer pairs to test and more rows for a segment.
     """
     a, b = _segs(points, 0, columns), _segs(points if others is None else others, 1, columns)
 
     def dealt(df: DataFrame, k: int) -> DataFrame:
         box = [f(F.col(f"a{c}{k}"), F.col(f"b{c}{k}")) for f in (F.least, F.greatest) for c in "xy"]
-        return in_cells(df, *box, cell).withColumnsRenamed({"__lx": f"__lx{k}", "__ly": f"__ly{k}"})
+        slack = time if k == 0 else 0
+        first, last = (F.floor((F.col(f"{n}{k}") / F.lit(1e6) + sign * slack) / bucket) for n, sign in (("t", -1), ("u", 1)))
+        out = in_cells(df, *box, cell).withColumnsRenamed({"__lx": f"__lx{k}", "__ly": f"__ly{k}"})
+        return out.withColumn(f"__lt{k}", first).withColumn("__ct", F.explode(F.sequence(first, last)))
 
-    met = dealt(a, 0).join(dealt(b, 1), ["__cx", "__cy"])
+    met = dealt(a, 0).join(dealt(b, 1), ["__cx", "__cy", "__ct"])
     if others is None:
         met = met.where("track_id_0 < track_id_1")
-    met = met.where((F.col("__cx") == F.greatest("__lx0", "__lx1")) & (F.col("__cy") == F.greatest("__ly0", "__ly1")))
+    met = met.where((F.col("__cx") == F.greatest("__lx0", "__lx1")) & (F.col("__cy") == F.greatest("__ly0", "__ly1")) & (F.col("__ct") == F.greatest("__lt0", "__lt1")))
     s, u = crossing(*[F.col(n) for n in ("ax0", "ay0", "bx0", "by0", "ax1", "ay1", "bx1", "by1")])
     met = met.withColumns({"__s0": s, "__s1": u}).where("__s0 is not null")
     at = lambda k: F.col(f"t{k}") + F.col(f"__s{k}") * (F.col(f"u{k}") - F.col(f"t{k}"))
