@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of anything but ASCII white space; bytes.split() splits at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch: texts may be very long, and a batch is held as a whole on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -40,10 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    What was shuffled for it isn't needed again, so its files go when it is written.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,3 +123,60 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def in_pieces(rows: DataFrame, key: str, piece: int = 2048) -> DataFrame:
+    """Deals keys with over `piece` rows (key, node) into pairs of pieces, so that no task compares many more: adds i and j (i = j in whole keys) and mine, the row's piece."""
+    big = rows.groupBy(key).count().where(F.col("count") > piece).select(key, F.ceil(F.col("count") / piece).cast("int").alias("g"))
+    rows = rows.join(bounded_broadcast(big), key, "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(11)), F.col("g")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    return rows.withColumn("other", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("g", "other")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys together, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        edges = [0, *change.tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, z in zip(edges, edges[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Sets of nodes that are merged; stars() tells them as (smallest node, node)."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up, path = self.up, []
+        while (y := up.setdefault(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            up[y] = x
+        return x
+
+    def merge(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        pairs = [(r, x) for x in self.up if (r := self.root(x)) != x]
+        return [r for r, _ in pairs], [x for _, x in pairs]

@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, components, stage
+from .common import components, in_pieces, runs, stage
 
 #: Hash tables, lattice points of a key, projection scale, and neighbouring cells probed in each table. Measured
 #: on random pairs of cosine 0.93 exactly, 64 dimensions: at least 99 % meet; pairs of larger cosine meet more often.
 TABLES, POINTS, SCALE, PROBES = 6, 2, 2.2, 6
-#: Vectors compared with one another in one piece of work; larger cells and components are dealt into pairs of pieces.
-PIECE = 2048
 _LEAST = np.array(
     [[a if k == i else b if k == j else 0 for k in range(8)] for i, j in itertools.combinations(range(8), 2) for a in (1, -1) for b in (1, -1)]
     + [list(s) for s in itertools.product((0.5, -0.5), repeat=8) if sum(x < 0 for x in s) % 2 == 0], float
@@ -83,36 +81,6 @@ def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _pieces(rows: DataFrame, key: str) -> DataFrame:
-    """Deals keys with over PIECE rows into pairs of pieces: adds i and j (i = j in whole keys) and mine, the row's piece."""
-    big = rows.groupBy(key).count().where(F.col("count") > PIECE).select(key, F.ceil(F.col("count") / PIECE).cast("int").alias("g"))
-    rows = rows.join(bounded_broadcast(big), key, "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(11)), F.col("g")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    return rows.withColumn("other", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("g", "other")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys together, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        edges = [0, *change.tolist(), batch.num_rows]
-        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, z in zip(edges, edges[1:]):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_copies(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors (vec_id, embedding, label).
 
@@ -145,10 +113,10 @@ def near_copies(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     met = stage(met, "cells")
     # cells of one vector are of no use
     shared = met.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
-    met = _pieces(met.join(shared, "cell").distinct(), "cell").join(wanted.select("node", "embedding"), "node")
+    met = in_pieces(met.join(shared, "cell").distinct(), "cell").join(wanted.select("node", "embedding"), "node")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["cell", "i", "j"]):
+        for run in runs(batches, ["cell", "i", "j"]):
             if run.num_rows < 2 or len(set(run.column("embedding").combine_chunks().value_lengths().to_pylist())) > 1:
                 continue
             x, who = _unit(run.column("embedding")), run.column("node").to_numpy()
@@ -175,10 +143,10 @@ def near_copies(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows_of = met.select("cell", "i", "j", "node", "embedding").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     comps = stage(components(rows_of.mapInArrow(forest, "a long, b long")), "components")
 
-    inside = _pieces(comps.withColumnRenamed("component", "of"), "of").join(nodes.select("node", "embedding", "copies"), "node")
+    inside = in_pieces(comps.withColumnRenamed("component", "of"), "of").join(nodes.select("node", "embedding", "copies"), "node")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["of", "i", "j"]):
+        for run in runs(batches, ["of", "i", "j"]):
             x, mine, copies = _unit(run.column("embedding")), run.column("mine").to_numpy(), run.column("copies").to_numpy()
             i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
             n = np.zeros(len(x), np.int64)

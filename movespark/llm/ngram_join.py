@@ -13,9 +13,9 @@ candidates: leaving out the same shingles everywhere only lessens D. A document
 too few segments takes part in the next level too, with all its shingles, and then in finer ones, until it
 fills enough. A pair meets at the first level at which one of the two does. So no link is lost.
 
-Within a group of equal segment values the smallest member is paired with each other one, not all with all. Where
-members of a group end up in different components, all pairs across components are compared by sketch and then
-exactly. Exact copies of a set are one node from the start.
+Groups of equal segment values with SMALL members at most pair them; large groups are joined in trees by task instead.
+Where members of a large group end up in different components after that, what shares such groups is brought
+together and compared exactly across components, piece by piece, telling only a spanning forest of the links. Exact copies of a set are one node from the start.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, discard, documents, stage
+from .common import Forest, components, discard, documents, in_pieces, runs, stage
 from .textblock import Block, blocks, mixed
 
 #: Words of a shingle; link if UNION_PART * intersection >= PART * union.
@@ -36,6 +36,8 @@ SHINGLE, PART, WHOLE = 5, 75, 100
 #: Shingles met this often in a block of texts are counted over the corpus; the most frequent of them are set apart.
 IN_BLOCK, FREQUENT, MOST_FREQUENT = 4, 16, 1 << 18
 LEVELS = 4
+#: Members of the largest groups of equal segment values that are paired; documents compared with one another in a piece of work.
+SMALL, PIECE = 8, 1024
 U = np.uint64
 
 
@@ -172,7 +174,11 @@ def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 
 def candidates(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Staged rows (key, a, b): a is the smallest print of those that share a key, b another. key only if there are three or more."""
+    """Staged rows (a, b) of pairs to verify, and (key, a) of the members of large groups.
+
+    Pairs are those of each small group, (SMALL - 1) / 2 for each member at most, and (smallest, other) of each tree into
+    which a task's large groups fall.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,22 +194,27 @@ def candidates(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield _rows(["key", "print"], pa.array(key), pa.array(s.print[of]))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_key, left_print = np.empty(0, np.int64), np.empty(0, np.int64)
+        left_key, left_print, trees = np.empty(0, np.int64), np.empty(0, np.int64), Forest()
 
-        def runs(key: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+        def groups(key: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
             key, who = key[fresh], who[fresh]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             start = np.flatnonzero(head)
-            size = np.diff(np.concatenate([start, [len(key)]]))
-            run = np.repeat(np.arange(len(start)), size)
-            other = ~head
-            a, b, k, big = who[start][run[other]], who[other], key[other], size[run[other]] > 2
-            two = np.unique(np.stack([a[~big], b[~big]], 1), axis=0) if (~big).any() else np.empty((0, 2), np.int64)
-            keys = pa.array(np.concatenate([k[big], np.zeros(len(two), np.int64)]), mask=np.concatenate([np.zeros(big.sum(), bool), np.ones(len(two), bool)]))
-            return _rows(["key", "a", "b"], keys, pa.array(np.concatenate([a[big], two[:, 0]])), pa.array(np.concatenate([b[big], two[:, 1]])))
+            size = np.diff(np.append(start, len(key)))
+            pairs = [np.empty((0, 2), np.int64)]
+            for n in range(2, SMALL + 1):
+                members = who[start[size == n][:, None] + np.arange(n)]
+                pairs += [members[:, [i, j]] for j in range(n) for i in range(j)]
+            two = np.unique(np.concatenate(pairs), axis=0)
+            yield _rows(["key", "a", "b"], pa.nulls(len(two), pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]))
+            large = np.repeat(size > SMALL, size)
+            first = np.repeat(who[start], size)
+            for a, b in zip(first[large].tolist(), who[large].tolist()):
+                trees.merge(a, b)
+            yield _rows(["key", "a", "b"], pa.array(key[large]), pa.array(who[large]), pa.nulls(int(large.sum()), pa.int64()))
 
         for batch in batches:
             key = np.concatenate([left_key, batch.column(0).to_numpy()])
@@ -211,9 +222,11 @@ def candidates(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
             left_key, left_print = key[cut:], who[cut:]
             if cut:
-                yield runs(key[:cut], who[:cut])
+                yield from groups(key[:cut], who[:cut])
         if len(left_key):
-            yield runs(left_key, left_print)
+            yield from groups(left_key, left_print)
+        a, b = trees.stars()
+        yield _rows(["key", "a", "b"], pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     keys = texts.mapInArrow(emit, "key long, print long")
@@ -221,26 +234,13 @@ def candidates(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return stage(sorted_.mapInArrow(pair, "key long, a long, b long"), "candidates")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Staged pairs (a, b) that link: sketches first, then exact intersections of recomputed sets."""
-    spark = docs.sparkSession
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [may_link(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")))]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = nodes.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
-    right = nodes.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
-    close = stage(pairs.distinct().join(left, "a").join(right, "b").mapInArrow(sift, "a long, b long"), "close")
-    wanted = close.select(F.col("a").alias("print")).union(close.select("b")).distinct()
-    if (many := wanted.count()) == 0:
-        return close
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Staged rows (print, tokens) of the sets whose prints are wanted, made again from the texts."""
     # a filter of bounded size; beyond it every set is made and the join alone picks what is wanted
-    few = np.sort(wanted.toArrow().column(0).to_numpy()) if many <= 2_000_000 else None
-    sent = spark.sparkContext.broadcast(few)
+    few = np.sort(wanted.toArrow().column(0).to_numpy()) if wanted.count() <= 2_000_000 else None
+    sent = docs.sparkSession.sparkContext.broadcast(few)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, seen = sent.value, set()
         for batch in batches:
             for _, s in _text_blocks(batch):
@@ -255,7 +255,24 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield _rows(["print", "tokens"], pa.array(s.print[hit]), pa.array([s.tokens[s.first[k] : s.first[k + 1]].tobytes() for k in hit], pa.binary()))
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    sets = stage(texts.mapInArrow(sets_of, "print long, tokens binary").dropDuplicates(["print"]), "tokens")
+    return stage(texts.mapInArrow(run, "print long, tokens binary").dropDuplicates(["print"]), "tokens")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Staged pairs (a, b) that link: sketches first, then exact intersections of recomputed sets."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_link(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = nodes.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
+    right = nodes.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
+    close = stage(pairs.distinct().join(left, "a").join(right, "b").mapInArrow(sift, "a long, b long"), "close")
+    wanted = stage(close.select(F.col("a").alias("print")).union(close.select("b")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return close
+    sets = sets_of(docs, wanted)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,40 +292,63 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return links
 
 
-def across(found: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and pass their sketches."""
-    members = found.where("key is not null").select("key", F.col("a").alias("print")).union(found.where("key is not null").select("key", "b")).distinct()
-    members = members.join(comps.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(mixed_keys, "key").join(nodes.select("print", "n", "sketch"), "print")
+def across(docs: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link components whose members share a key: a spanning forest of them."""
+    members = found.where("key is not null").select("key", F.col("a").alias("node"))
+    members = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = stage(members.join(open_keys, "key"), "members")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, key, root = Forest(), None, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "print", "component", "n", "sketch"))):
-                if held and held[0][0] != row[0]:
-                    yield from cross(held)
-                    held = []
-                held.append(row)
-        yield from cross(held)
-
-    def cross(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        bits = 8 * min(len(r[4]) for r in rows)
-        x = np.frombuffer(b"".join(_fold(int.from_bytes(r[4], "little"), 8 * len(r[4]), bits).to_bytes(bits // 8, "little") for r in rows), U).reshape(len(rows), -1)
-        who, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        step = max(1, (1 << 21) // x.size)
-        for lo in range(0, len(rows), step):
-            part = slice(lo, lo + step)
-            far = np.bitwise_count(x[part, None] ^ x[None]).sum(2, dtype=np.int64)
-            ok = (far <= (n[part, None] + n) // 7) & (4 * n[part, None] >= 3 * n) & (4 * n >= 3 * n[part, None]) & (comp[part, None] < comp)
-            i, j = np.nonzero(ok)
-            a, b = who[part][i], who[j]
-            yield _rows(["a", "b"], pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)))
-
-    rows = members.select("key", "print", "component", "n", "sketch").repartition("key").sortWithinPartitions("key", "print")
-    return stage(rows.mapInArrow(compare, "a long, b long").distinct(), "across")
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != key:
+                    key, root = k, c
+                else:
+                    forest.merge(root, c)
+        a, b = forest.stars()
+        yield _rows(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
+
+    keyed = members.select("key", "component").repartition("key").sortWithinPartitions("key")
+    near = components(keyed.mapInArrow(trees, "a long, b long")).select(F.col("node").alias("component"), F.col("component").alias("of"))
+    who = stage(members.select("node", "component").distinct().join(near, "component"), "who")
+    if who.isEmpty():
+        return who.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    sets = sets_of(docs, who.select(F.col("node").alias("print")))
+    rows = in_pieces(who, "of", PIECE).join(sets.withColumnRenamed("print", "node"), "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ["of", "i", "j"]):
+            if run.num_rows < 2:
+                continue
+            node, comp, mine = (run.column(c).to_numpy() for c in ("node", "component", "mine"))
+            tokens = [np.frombuffer(t, U) for t in run.column("tokens").to_pylist()]
+            size = np.array([len(t) for t in tokens])
+            _, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+            start = np.cumsum(size) - size
+            mark = np.zeros(int(ids.max()) + 1, bool)
+            forest, a, b = Forest(), [], []
+            root = comp.copy()
+            drive = np.arange(len(node)) if run.column("i")[0].as_py() == run.column("j")[0].as_py() else np.flatnonzero(mine == run.column("i")[0].as_py())
+            for x in drive.tolist():
+                if (root == root[x]).all():
+                    break
+                own = ids[start[x] : start[x] + size[x]]
+                mark[own] = True
+                common = np.add.reduceat(mark[ids], start, dtype=np.int64)
+                mark[own] = False
+                hit = (WHOLE * common >= PART * (size[x] + size - common)) & (root != root[x])
+                for y in np.flatnonzero(hit).tolist():
+                    if forest.merge(int(root[x]), int(root[y])):
+                        a.append(int(node[x]))
+                        b.append(int(node[y]))
+                if hit.any():
+                    root = np.array([forest.root(c) for c in comp.tolist()])
+            yield _rows(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
+
+    dealt = rows.select("of", "i", "j", "mine", "node", "component", "tokens").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -322,13 +362,11 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     of_docs = sets.where("token is null").select("doc_id", "n", "print", "sketch")
     nodes = stage(of_docs.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     found = candidates(docs, frequent_shingles(sets))
-    links = verified(docs, found.select("a", "b"), nodes)
+    links = verified(docs, found.where("b is not null").select("a", "b"), nodes)
     comps = stage(components(links), "components")
-    more = across(found, nodes, comps).join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    more = stage(across(docs, found, comps), "more")
     if not more.isEmpty():
-        extra = verified(docs, more, nodes)
-        if not extra.isEmpty():
-            comps = stage(components(links.union(extra)), "components")
+        comps = stage(components(links.union(more)), "components")
     discard(found)
     group = nodes.join(comps.withColumnRenamed("node", "print"), "print", "left").select("print", "rep", F.coalesce("component", "print").alias("component"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
