@@ -154,7 +154,7 @@ def _byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes chunks (runs without white space), which never share a token with one another."""
 
-    def __init__(self, spec: dict, lexicon: Lexicon | None = None, memo: int = 400_000):
+    def __init__(self, spec: dict, lexicon: Lexicon | None = None, memo: int = 300_000):
         model = spec["model"]
         self.vocab, self.lexicon, self.most = model["vocab"], lexicon, memo
         self.suffix = model["end_of_word_suffix"] or ""
