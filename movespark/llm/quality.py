@@ -143,15 +143,16 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 1000) -
 
     The verdict of a cascade doesn't depend on the order; only its cost does. An empty sample keeps the order given.
     """
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select(F.col("text").cast("binary")).limit(sample).toArrow()
-    found = list(blocks(rows.column(0).combine_chunks())) if rows.num_rows else []
+    # take() reads as few partitions as it needs; a limit inside a plan would gather from all of them
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select(F.col("text").cast("binary")).take(sample)
+    found = list(blocks(pa.array([r[0] for r in rows], pa.binary())))
     if not found:
         return rules
     measured = []
     for rule in rules:
         began = time.thread_time()
         bad = sum(int(rule.fails(Measures(b)).sum()) for b in found)
-        measured.append(Rule(rule.name, rule.fails, max(time.thread_time() - began, 1e-6), bad / rows.num_rows))
+        measured.append(Rule(rule.name, rule.fails, max(time.thread_time() - began, 1e-6), bad / len(rows)))
     return tuple(sorted(measured, key=lambda r: -r.rejects / r.cost))
 
 
