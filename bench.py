@@ -9,7 +9,7 @@ import time
 from movespark.session import SETTINGS
 
 HEADLINE = ("split_st", "track_meta", "speed_mid", "coursing_mid", "turning_rate", "sinuosity_w5", "classify_stops", "classify_polygons", "time_in_polygon", "resample_time", "resample_global",
-            "smooth_corners", "encounters", "intersections", "proximities", "flow_map", "lateral_hist", "rasterize_count", "to_lines", "agent_meta", "decimate")
+            "smooth_corners", "encounters", "intersections", "flow_map", "lateral_hist", "rasterize_count", "to_lines", "agent_meta", "decimate")
 
 
 def main() -> None:

@@ -60,7 +60,7 @@ def _segs(points: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
                       *[F.col(c).alias(f"{c}_a{k}") for c in columns], *[F.col(f"__n_{c}").alias(f"{c}_b{k}") for c in columns])
 
 
-def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float = 50.0, columns: Sequence[str] = (), bucket: float = 43_200) -> DataFrame:
+def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float = 50.0, columns: Sequence[str] = (), bucket: float = 14_400) -> DataFrame:
     """Crossings of two tracks' segments whose times there differ by no more than `time` seconds, values by straight lines.
 
     Segments meet by the cells of a grid in space and time (`bucket` seconds) that they cover; a pair counts in the lowest
