@@ -205,4 +205,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir).select("doc_id", "text"))
+    # which rule is first depends on the order that timing finds
+    return judge(documents(spark, sf_dir).select("doc_id", "text")).drop("rejected_by")

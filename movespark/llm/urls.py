@@ -116,4 +116,5 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.withColumns({"trust": F.round("trust", 9), "distrust": F.round("distrust", 9)})
