@@ -130,6 +130,29 @@ def test_windows_score_each_place_once():
             assert p[j] == pytest.approx(logit[classes[j]] - np.log(np.exp(logit).sum()), abs=1e-4)
 
 
+def test_training_windows_hold_all_subwords():
+    for n in (0, 1, 31, 32, 33, 5000):
+        ids = np.arange(n) % 60_000
+        rows = [np.frombuffer(w, "<u2").tolist() for w in scoring.cut(ids, 60_001)]
+        assert [i for w in rows for i in w[1:]] == [*ids.tolist(), 60_001]
+        assert rows[0][0] == 60_001 and all(b[0] == a[-1] for a, b in zip(rows, rows[1:]))
+
+
+def test_model_learns_from_all_of_a_text(spark):
+    """Each word of the text has its place in the counts that the model is made of, the inner ones of a word too."""
+    coder = scoring.Subwords(scoring.public_ranks())
+    words = prose(random.Random(11), 3000).encode().split()
+    d = spark.createDataFrame([(0, b" ".join(words))], "row long, text binary")
+    tally = scoring._tally(d, spark.sparkContext.broadcast(scoring.public_ranks()))
+    seen = collections.Counter(i for r in tally.where("window is not null").collect() for i in np.frombuffer(r.window, "<u2")[1:].tolist())
+    assert seen == collections.Counter([*coder.many(words)[0].tolist(), coder.size])
+    counts = tally.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    _, pairs = scoring.word_figures(counts, [], spark.sparkContext.broadcast(scoring.public_ranks()))
+    want = collections.Counter(p for w in set(words) for p in itertools.pairwise(coder(w)))
+    assert {(a, b): n for a, b, n in pairs} == {p: n for p, n in want.items() if n > 1}
+    assert attention.STEP == 16 and scoring.STEPS == 300
+
+
 def test_base_scores(spark, docs):
     got = scoring.score(docs).collect()
     counts, tokens = collections.Counter(), {}
