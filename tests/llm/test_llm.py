@@ -153,6 +153,25 @@ def test_model_learns_from_all_of_a_text(spark):
     assert attention.STEP == 16 and scoring.STEPS == 300
 
 
+def test_classes_come_from_all_windows(spark):
+    """Neighbours are counted in the last window as in the first, and subwords of like neighbours share a class."""
+    rng, size = random.Random(12), 3000
+    seqs = [[rng.randrange(2000) if k < 300 else 2000 + rng.randrange(1000) for _ in range(50)] for k in range(400)]
+    rows = [(w, k) for k, s in enumerate(seqs) for w in scoring.cut(np.array(s), size)]
+    d = spark.createDataFrame(rows, "window binary, deal long").coalesce(4)
+    counts = np.bincount([i for s in seqs for i in s], minlength=size + 1).astype(float)
+    common = {int(i): k for k, i in enumerate(np.argsort(-counts[:size], kind="stable")[:512])}
+    want = collections.Counter()
+    for s in seqs:
+        for a, b in itertools.pairwise(s):
+            want.update((i, common[j] + shift) for i, j, shift in ((a, b, 0), (b, a, 512)) if j in common)
+    assert {(r.id, k): n for r in scoring.neighbours(d, counts).collect() for k, n in zip(r.at, r.n)} == want
+    begins = np.arange(size) % 2 == 0
+    got = scoring.classes_of(d, counts, begins, rounds=2)
+    assert (got[begins] < attention.STARTS).all() and (got[~begins] >= attention.STARTS).all() and got.max() < attention.END
+    assert (got[2000:][begins[2000:]] < attention.STARTS - 1).any() and not hasattr(scoring, "SAMPLE")
+
+
 def test_base_scores(spark, docs):
     got = scoring.score(docs).collect()
     counts, tokens = collections.Counter(), {}
