@@ -79,13 +79,14 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area code (200 to 999, as before) and last four digits after a country code; the middle ones stay."""
+    """All ten digits after a country code: area code and last four together, then the middle ones by a key of those."""
     d = F.substring(_digits(m), -10, 10)
-    area, middle, line = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 3), F.substring(d, 7, 4).cast("long")
-    ok = area >= 200
-    new = feistel((area - 200) * 10_000 + line, 800, 10_000, key, "phone")
+    new = feistel(F.substring(d, 1, 3).cast("long") * 10_000 + F.substring(d, 7, 4).cast("long"), 1000, 10_000, key, "phone")
+    # the new outer digits say how far the middle ones are moved, so distinct numbers stay distinct
+    shift = F.pmod(_round(key, "phone-middle", new, F.lit(0)), F.lit(1000))
+    middle = F.pmod(F.substring(d, 4, 3).cast("long") + shift, F.lit(1000))
     code = F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
-    return F.when(ok, _into(m, F.concat(code, (F.floor(new / 10_000) + 200).cast("string"), middle, _pad(new % 10_000, 4))))
+    return _into(m, F.concat(code, _pad(F.floor(new / 10_000), 3), _pad(middle, 3), _pad(new % 10_000, 4)))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -153,7 +154,7 @@ class Kind:
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", _email),
     Kind("card", r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])", _card),
-    Kind("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,2}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9A-Za-z])", _phone),
+    Kind("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9A-Za-z])", _phone),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn),
     Kind("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ip),
     Kind("date_ymd", r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])", _date_as("ymd")),

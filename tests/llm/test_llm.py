@@ -282,6 +282,21 @@ def test_pseudonyms_keep_formats(spark):
     assert len(new) == len(text) or ip != "8.8.8.8"
 
 
+def test_phones_of_all_areas_and_countries(spark):
+    numbers = ["+1 (017) 555-2826", "+1 (073) 555-2826", "+49 (171) 555-2826", "+351 (132) 555-2826", "+1 (708) 555-2826", "+1 708 556 2826", "+1-000-000-0000", "+1-999-999-9999"]
+    d = spark.createDataFrame([(k, f"call {n} now") for k, n in enumerate(numbers)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d).collect()}
+    digits = [re.sub("[^0-9]", "", n)[-10:] for n in numbers]
+    new = [re.sub("[^0-9]", "", got[k].text)[-10:] for k in range(len(numbers))]
+    for k, n in enumerate(numbers):
+        assert got[k].n_phone == 1 and n not in got[k].text
+        assert re.sub("[0-9]", "0", got[k].text) == re.sub("[0-9]", "0", f"call {n} now")
+        assert got[k].text.startswith("call " + re.split("[ -]", n)[0])
+    # equal numbers have equal pseudonyms whatever the country, distinct ones distinct; the middle three change too
+    assert len(set(new)) == len(set(digits)) and sum(a[3:6] == b[3:6] for a, b in zip(digits, new)) < 2
+    assert not any(re.search(r"555-2826|556 2826", r.text) for r in got.values())
+
+
 # ---------------------------------------------------------------- 5
 
 
