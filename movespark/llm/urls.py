@@ -8,16 +8,19 @@ of DataFrame operations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_az, stage
+from .common import discard, lower_az, stage
 
 #: (host and path, verdict): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 STEPS, DAMPING = 8, 0.85
+#: Steps between two looks at the masses, the largest relative change of one at which they stand, and what tells two apart.
+LOOK, TOLERANCE, TIE = 4, 1e-7, 1e-6
 #: More rules than this are joined by host suffix instead of being tried one after another.
 INLINE = 64
 
@@ -56,9 +59,11 @@ def match_rules(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct edges (src, dst, links) between different hosts, from rows with host and html."""
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1))
-    out = pages.where(F.col("html").contains("://")).select(F.col("host").alias("src"), F.explode(links).alias("url"))
-    out = out.select("src", host_of(F.col("url")).alias("dst"))
+    links = F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
+    out = pages.where(F.col("html").contains("//")).select(F.col("host").alias("src"), F.explode(links).alias("url"))
+    # a link that begins with // takes the scheme of its page
+    url = F.when(F.startswith("url", F.lit("//")), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))
+    out = out.select("src", host_of(url).alias("dst"))
     up = pages.select("host").distinct().select(F.col("host").alias("src"), F.explode(_parents(F.col("host"))).alias("edge"))
     tree = up.select(F.col("edge.src").alias("src"), F.col("edge.dst").alias("dst"))
     both = out.unionByName(tree).where("src <> '' and dst <> '' and src <> dst")
@@ -74,22 +79,29 @@ def _parents(host: Column) -> Column:
 
 
 def personalised(seeds: DataFrame, edges: DataFrame, score: str, steps: int, damping: float) -> DataFrame:
-    """Rows (host, score): mass of the seeds (host, weight) after so many steps over edges (src, dst, links).
+    """Rows (host, score): mass of the seeds (host, weight) over edges (src, dst, links), after at least so many steps.
 
     Each step sends damping of a host's mass along its edges by their links, and returns the rest to the seeds.
-    The sum of a host's incoming mass is aggregated before the shuffle; the lineage is cut half-way.
+    Steps go on until no host is new and no mass changes by more than a share of TOLERANCE. The sum of a host's incoming
+    mass is aggregated before the shuffle; the lineage is cut at every look.
     """
     total = seeds.agg(F.sum("weight")).collect()[0][0] or 1.0
     start = stage(seeds.select("host", (F.col("weight") / total).alias("mass")), "seeds")
     degree = edges.groupBy("src").agg(F.sum("links").alias("degree"))
     flow = stage(edges.join(degree, "src").select("src", "dst", (damping * F.col("links") / F.col("degree")).alias("share")), "flow")
-    mass = start
-    for step in range(steps):
-        sent = mass.join(flow, mass.host == flow.src).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-        mass = sent.unionByName(start.select("host", ((1 - damping) * F.col("mass")).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if step == steps // 2:
-            mass = stage(mass, "mass")
-    return mass.select("host", F.round("mass", 12).alias(score))
+    old, done, change = start, 0, math.inf
+    while done < steps or change > TOLERANCE:
+        mass = old
+        for _ in range(LOOK):
+            sent = mass.join(flow, mass.host == flow.src).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+            mass = sent.unionByName(start.select("host", ((1 - damping) * F.col("mass")).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
+        mass, done = stage(mass, "mass"), done + LOOK
+        both = mass.join(old.select("host", F.col("mass").alias("old")), "host", "left")
+        change = both.agg(F.max(F.abs(F.col("mass") - F.coalesce("old", F.lit(0.0))) / F.col("mass"))).collect()[0][0] or 0.0
+        if old is not start:
+            discard(old)
+        old = mass
+    return old.select("host", F.col("mass").alias(score))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
@@ -110,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps
     doubt = personalised(seeds.where("rule_verdict = 'block'").select("host", "weight"), back, "distrust", steps, damping)
     scores = stage(trust.join(doubt, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
     out = ruled.drop("html").join(scores, "host", "left")
-    bad = F.coalesce(F.col("distrust") > F.col("trust"), F.lit(False))
+    bad = F.coalesce(F.col("distrust") > F.col("trust") * (1 + TIE), F.lit(False))
     verdict = F.coalesce("rule_verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

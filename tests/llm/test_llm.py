@@ -246,6 +246,20 @@ def test_urls_against_loop(spark):
         assert r.verdict == (v or ("block" if round(doubt.get(h, 0), 12) > round(trust.get(h, 0), 12) else "allow"))
 
 
+def test_distrust_reaches_far_and_small(spark):
+    """Hosts 12 links from a blocked page, and very many subdomains with little mass each, are blocked; // links are edges."""
+    rows = [(0, "http://bad.com/de/x", "")] + [(k, f"http://h{k}.net/", f'<a href="//{f"h{k - 1}.net" if k > 1 else "bad.com"}/p?u=http://z.net">') for k in range(1, 13)]
+    rows += [(100, "http://good.org/", "")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k].verdict for k in range(1, 13)] == ["block"] * 12 and got[100].verdict == "allow"
+    assert got[12].distrust == pytest.approx(0.85**12 * 0.15, rel=1e-3)
+    # one blocked page of a domain with many subdomains among very many blocked pages elsewhere
+    seeds = spark.createDataFrame([("s.com", 1.0), ("other.com", 1e13)], "host string, weight double")
+    edges = spark.createDataFrame([("s.com", f"w{k}.s.com", 1) for k in range(50)], "src string, dst string, links long")
+    mass = {r.host: r.distrust for r in urls.personalised(seeds, edges, "distrust", urls.STEPS, urls.DAMPING).collect()}
+    assert all(mass[f"w{k}.s.com"] == pytest.approx(0.85 * 0.15 / 50 / 1e13, rel=1e-6) for k in range(50))
+
+
 def test_many_rules_take_the_join(spark):
     pages = spark.createDataFrame([("x.net", "/a/b"), ("y.net", "/"), ("q.x.net", "/a"), ("", "")], "host string, path string")
     rules = [("net/", "allow"), ("x.net/a", "block"), *[(f"h{k}.org/", "allow") for k in range(100)]]
