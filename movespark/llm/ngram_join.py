@@ -376,19 +376,31 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near duplicates: the one of smallest id. Nulls and empty texts stay.
+    """The documents with one row of each group of near duplicates: the first by doc_id and text. Nulls and empty texts stay.
 
-    Of several rows with the same doc_id and the same set, the first by text stays.
+    Rows are told apart by doc_id and text, so an id may come with several texts, of one group or of several.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    out = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(out, "doc_id", "left_anti")
-    twice = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
+    groups = jaccard_groups(keyed.select(F.col("__k").alias("doc_id"), "text")).where("n_shingles > 0")
+    of = stage(groups.groupBy(F.col("doc_id").alias("__k"), "component_id").agg(F.count("*").alias("times")), "of")
+    # rows that are alone in their group stay whatever their id
+    shared = of.join(of.groupBy("component_id").agg(F.sum("times").alias("rows")).where("rows > 1"), "component_id")
+    named = stage(shared.join(keyed.where("doc_id is not null").select("__k", "doc_id").distinct(), "__k"), "named")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    first = stage(named.join(least, ["component_id", "doc_id"]).select("component_id", "__k"), "first")
+    tied = first.groupBy("component_id").count().where("count > 1").select("component_id")
+    if not tied.isEmpty():
+        texts = keyed.select("__k", "text").join(first.join(tied, "component_id", "left_semi"), "__k")
+        chosen = texts.groupBy("component_id").agg(F.min_by("__k", "text").alias("__k"))
+        first = stage(first.join(tied, "component_id", "left_anti").unionByName(chosen), "first")
+    out = named.select("__k").join(first.select("__k"), "__k", "left_anti")
+    left = keyed.join(out, "__k", "left_anti")
+    twice = named.where("times > 1").select("__k")
     if twice.isEmpty():
         return left.select(*docs.columns)
     twice = stage(twice, "twice")
-    first = left.join(twice, "doc_id", "left_semi").withColumn("__k", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__k = 1").drop("__k")
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    once = left.join(twice, "__k", "left_semi").withColumn("__n", F.row_number().over(W.partitionBy("__k").orderBy("text"))).where("__n = 1")
+    return left.join(twice, "__k", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,6 +452,17 @@ def test_jaccard_groups(spark, docs):
     assert sorted(kept) == sorted(set(comp.values()) | {500, 501, 502}) and len(kept) == len(set(kept))
 
 
+def test_every_group_keeps_one_row(spark):
+    """An id with several texts: each group of near duplicates keeps its first row by id and text, and no other."""
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    rows = [(5, a), (9, a + " zz"), (5, b), (3, b + " zz"), (7, c), (7, d), (8, "yy " + d), (6, "m " + c), (6, "k " + c), (6, "k " + c), (20, None), (20, ""), (None, a), (21, prose(rng, 90)), (21, prose(rng, 90))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.text or "") for r in ngram_join.keep_one(frame).collect())
+    want = [(5, a), (3, b + " zz"), (6, "k " + c), (7, d), (20, ""), (20, ""), (-1, a), *rows[-2:]]
+    assert got == sorted(want)
+
+
 def test_jaccard_in_large_groups(spark):
     """A large group of near copies around the bound, with a frequent passage: no link may be lost."""
     rng, rows = random.Random(8), []
