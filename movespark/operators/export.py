@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import crossing, wkt_line
+from ..functions.geometry import wkt_line
 from ..functions.tracks import track, micros, nxt
 from .classify import runs
 
@@ -53,17 +53,34 @@ def blank_raster(spark: SparkSession, x0: float, y0: float, nx: int, ny: int, dx
 def rasterize(points: DataFrame, x0: float, y0: float, nx: int, ny: int, dx: float, dy: float, attribute: str | None = None) -> DataFrame:
     """Rows (row, col, value): how many tracks touch a cell, or the sum of an attribute over them.
 
-    Each segment makes the cells of its box and keeps those whose square it touches; a track counts once in a cell.
+    Cells are closed: a step that only meets a border or a corner touches the cells on both sides of it, also where it
+    runs along the border. A step makes the columns of its box, and in each column the rows that its piece there spans, so
+    a long step makes about as many cells as it touches. A track counts once in a cell; one point alone is a step to itself.
     """
     seg = points.withColumns({"__nx": F.coalesce(nxt("x"), F.col("x")), "__ny": F.coalesce(nxt("y"), F.col("y"))})
-    cell = lambda v, o, d, n: F.least(F.greatest(F.floor((v - o) / d), F.lit(-1)), F.lit(n)).cast("int")
-    span = lambda c, o, d, n: F.sequence(cell(F.least(c, f"__n{c}"), o, d, n), cell(F.greatest(c, f"__n{c}"), o, d, n))
-    dealt = seg.withColumn("col", F.explode(span("x", x0, dx, nx))).withColumn("row", F.explode(span("y", y0, dy, ny)))
-    dealt = dealt.where(F.col("col").between(0, nx - 1) & F.col("row").between(0, ny - 1))
-    a, b = x0 + F.col("col") * dx, y0 + F.col("row") * dy
-    inside = F.col("x").between(a, a + dx) & F.col("y").between(b, b + dy)
-    ends = F.col("x"), F.col("y"), F.col("__nx"), F.col("__ny")
-    for edge in ((a, b, a + dx, b), (a + dx, b, a + dx, b + dy), (a, b + dy, a + dx, b + dy), (a, b, a, b + dy)):
-        inside = inside | crossing(*ends, *edge)[0].isNotNull()
-    touched = dealt.where(inside).groupBy("track_id", "row", "col").agg((F.max(attribute) if attribute else F.lit(1)).alias("__v"))
+    seg = seg.withColumns({"__dx": F.col("__nx") - F.col("x"), "__dy": F.col("__ny") - F.col("y")})
+
+    def span(low: Column, high: Column, n: int, slack: float = 0.0) -> Column:
+        """Numbers of the closed cells from low to high (in cells), those of the raster only."""
+        first = F.greatest(F.ceil(low - slack) - 1, F.lit(0)).cast("int")
+        last = F.least(F.floor(high + slack), F.lit(n - 1)).cast("int")
+        return F.when(first <= last, F.sequence(first, last))
+
+    def within(start: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """Shares of the step between which it lies from low to high on an axis, if it does at all."""
+        a, b = (low - start) / d, (high - start) / d
+        return F.when(d == 0, F.lit(0.0)).otherwise(F.least(a, b)), F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(a, b))
+
+    cols = span((F.least("x", "__nx") - x0) / dx, (F.greatest("x", "__nx") - x0) / dx, nx)
+    dealt = seg.withColumn("col", F.explode(cols))
+    left = x0 + F.col("col") * dx
+    enter, leave = within(F.col("x"), F.col("__dx"), left, left + dx)
+    dealt = dealt.withColumns({"__in": F.greatest(enter, F.lit(0.0)), "__out": F.least(leave, F.lit(1.0))})
+    ends = [(F.col("y") + F.col(t) * F.col("__dy") - y0) / dy for t in ("__in", "__out")]
+    dealt = dealt.withColumn("row", F.explode(span(F.least(*ends), F.greatest(*ends), ny, 1e-9)))
+    low = y0 + F.col("row") * dy
+    enter, leave = within(F.col("y"), F.col("__dy"), low, low + dy)
+    box = (F.least("y", "__ny") <= low + dy) & (F.greatest("y", "__ny") >= low)
+    dealt = dealt.where(box & (F.greatest("__in", enter) <= F.least("__out", leave) + 1e-12))
+    touched = dealt.groupBy("track_id", "row", "col").agg((F.max(attribute) if attribute else F.lit(1)).alias("__v"))
     return touched.groupBy("row", "col").agg(F.sum("__v").cast("double").alias("value"))
