@@ -51,11 +51,17 @@ def in_polygon(x: Column, y: Column, shape: Points) -> Column:
     return box & ((F.size(F.filter(edges, crosses)) % 2 == 1) | F.exists(edges, on))
 
 
-def crossing(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
-    """Shares t of a-b and u of c-d at which the segments cross, ends included; null if they don't or are parallel."""
+def shares(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Shares of a-b and of c-d at which the lines through them cross; null if they are parallel."""
     det = (ax - bx) * (cy - dy) - (ay - by) * (cx - dx)
     t = F.try_divide((ax - cx) * (cy - dy) - (ay - cy) * (cx - dx), det)
     u = F.try_divide((ax - cx) * (ay - by) - (ay - cy) * (ax - bx), det)
+    return t, u
+
+
+def crossing(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Shares t of a-b and u of c-d at which the segments cross, ends included; null if they don't or are parallel."""
+    t, u = shares(ax, ay, bx, by, cx, cy, dx, dy)
     hit = t.between(0.0, 1.0) & u.between(0.0, 1.0)
     return F.when(hit, t), F.when(hit, u)
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geometry import Points, crossing, distance, edges_of, segment_distance
+from ..functions.geometry import Points, crossing, distance, edges_of, segment_distance, shares
 from ..functions.tracks import from_micros, micros, nxt, prev
-from ..plans.joins import grid_join, in_cells, interval_join
+from ..plans.joins import cells_of, interval_join, salted_join
 
 
 def _spans(points: DataFrame, k: int) -> DataFrame:
@@ -33,19 +33,33 @@ def _side(points: DataFrame, k: int, columns: Sequence[str] = ()) -> DataFrame:
 def encounters(points: DataFrame, others: DataFrame | None = None, dist: float = 0.1, time: float = 3600, columns: Sequence[str] = (), filter_min: bool = False) -> DataFrame:
     """For each point of a track the point of another track that is nearest in space, if near enough in space and time.
 
-    Points meet by cells as wide as the distance: if the nearest of all is within the distance, it is the nearest in
-    the cells. Time is tested only then, on the nearest. With filter_min the last nearest of each pair stays.
+    Only tracks whose spans overlap in time meet: points are dealt over the buckets that their track's span covers, and a pair
+    counts in the first bucket of both. There they meet by cells as wide as the distance: if the nearest of all is
+    within the distance, it is the nearest in the cells. Time is tested only then, on the nearest. With filter_min the
+    last nearest of each pair stays. Full cells are dealt over salts.
     """
-    met = grid_join(_side(points, 0, columns), _side(points if others is None else others, 1, columns), "x_0", "y_0", "x_1", "y_1", dist)
+    took = points.groupBy("track_id").agg((F.max(micros(F.col("time"))) - F.min(micros(F.col("time")))).alias("d")).agg(F.avg("d")).collect()[0][0]
+    width = max(took or 0.0, 1e6)
+
+    def spread(df: DataFrame, k: int) -> DataFrame:
+        w = W.partitionBy("agent_id", "track_no")
+        t = micros(F.col("time"))
+        df = df.withColumns({"__from": F.min(t).over(w), "__to": F.max(t).over(w)})
+        out = _side(df, k, (*columns, "__from", "__to"))
+        return out.withColumn("__b", F.explode(F.sequence(*[F.floor(F.col(f"{e}_{k}") / width) for e in ("__from", "__to")])))
+
+    gap = distance(F.col("x_0"), F.col("y_0"), F.col("x_1"), F.col("y_1"))
+    meet = (F.col("__from_0") <= F.col("__to_1")) & (F.col("__from_1") <= F.col("__to_0")) & (F.col("__b") == F.floor(F.greatest("__from_0", "__from_1") / width)) & (gap <= dist)
     if others is None:
-        met = met.where("track_id_0 < track_id_1")
-    met = met.withColumn("distance", distance(F.col("x_0"), F.col("y_0"), F.col("x_1"), F.col("y_1"))).where(F.col("distance") <= dist)
+        meet = meet & (F.col("track_id_0") < F.col("track_id_1"))
+    a, b = cells_of(spread(points, 0), "x_0", "y_0", dist), cells_of(spread(points if others is None else others, 1), "x_1", "y_1", dist, near=True)
+    met = salted_join(a, b, ["__b", "__cx", "__cy"], ["track_id_0", "seq_0"], meet)
+    met = met.withColumn("distance", gap).drop("__b", "__cx", "__cy", "__from_0", "__from_1", "__to_0", "__to_1")
     right = [c for c in met.columns if c.endswith("_1") and c != "track_id_1"]
     left = [c for c in met.columns if c.endswith("_0") and c not in ("track_id_0", "seq_0")]
     best = met.groupBy("track_id_0", "seq_0", "track_id_1").agg(*[F.first(c).alias(c) for c in left], F.min_by(F.struct("distance", *right), F.struct("distance", "seq_1")).alias("n"))
     out = best.select("track_id_0", "seq_0", "track_id_1", *left, "n.*")
     out = out.withColumn("time_difference", F.abs(micros(F.col("time_0")) - micros(F.col("time_1"))) / F.lit(1e6)).where(F.col("time_difference") <= time)
-    out = out.join(overlapping_pairs(points, others), ["track_id_0", "track_id_1"])
     if filter_min:
         w = W.partitionBy("track_id_0", "track_id_1").orderBy("distance", F.desc("seq_0"))
         out = out.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
@@ -60,33 +74,62 @@ def _segs(points: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
                       *[F.col(c).alias(f"{c}_a{k}") for c in columns], *[F.col(f"__n_{c}").alias(f"{c}_b{k}") for c in columns])
 
 
-def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float = 50.0, columns: Sequence[str] = (), bucket: float = 14_400) -> DataFrame:
+def _sizes(segs: DataFrame, time: float, cell: float | None, bucket: float | None) -> tuple[float, float, float]:
+    """Seconds of a bucket and width and height of a cell: about what a mean segment covers in an eighth of its time."""
+    if cell is not None and bucket is not None:
+        return bucket, cell, cell
+    took, wide, high = segs.agg(F.avg((F.col("u0") - F.col("t0")) / F.lit(1e6)), *[F.avg(F.abs(F.col(f"b{c}0") - F.col(f"a{c}0"))) for c in "xy"]).collect()[0]
+    took, wide, high = took or 1.0, wide or 0.0, high or 0.0
+    bucket = bucket or max(2.0 * time, took / 8, 1e-3)
+    least = 1e-9 + 0.05 * max(wide, high)
+    share = min(1.0, (bucket + time) / max(took, 1e-9))
+    return bucket, *((cell, cell) if cell is not None else (max(2 * v * share, least) for v in (wide, high)))
+
+
+def intersections(points: DataFrame, others: DataFrame | None = None, time: float = 3600, cell: float | None = None, columns: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Crossings of two tracks' segments whose times there differ by no more than `time` seconds, values by straight lines.
 
-    Segments meet by the cells of a grid in space and time (`bucket` seconds) that they cover; a pair counts in the lowest
-    cell that both cover. Smaller cells mean fewer pairs to test and more rows for a segment.
+    A segment is cut into what it covers in buckets of time (the other side's into what it covers from `time` before a bucket
+    to `time` after), and these pieces meet by cell and bucket. A crossing has one place and one time on the first
+    track, and is counted in the cell and bucket of those. Sizes not given are taken from the mean segment. Cells with
+    many pieces are dealt over salts.
     """
     a, b = _segs(points, 0, columns), _segs(points if others is None else others, 1, columns)
+    bucket, *cells = _sizes(a, time, cell, bucket)
+    width, slack = F.lit(bucket * 1e6), time * 1e6
 
     def dealt(df: DataFrame, k: int) -> DataFrame:
-        box = [f(F.col(f"a{c}{k}"), F.col(f"b{c}{k}")) for f in (F.least, F.greatest) for c in "xy"]
-        slack = time if k == 0 else 0
-        first, last = (F.floor((F.col(f"{n}{k}") / F.lit(1e6) + sign * slack) / bucket) for n, sign in (("t", -1), ("u", 1)))
-        out = in_cells(df, *box, cell).withColumnsRenamed({"__lx": f"__lx{k}", "__ly": f"__ly{k}"})
-        return out.withColumn(f"__lt{k}", first).withColumn("__ct", F.explode(F.sequence(first, last)))
-
-    met = dealt(a, 0).join(dealt(b, 1), ["__cx", "__cy", "__ct"])
+        add = slack if k else 0.0
+        t, u = F.col(f"t{k}"), F.col(f"u{k}")
+        out = df.withColumn("__ct", F.explode(F.sequence(F.floor((t - add) / width), F.floor((u + add) / width))))
+        long = F.greatest(u - t, F.lit(1))
+        shares = [F.least(F.greatest((at - t) / long, F.lit(0.0)), F.lit(1.0)) for at in (F.col("__ct") * width - add, (F.col("__ct") + 1) * width + add)]
+        for c, size in zip("xy", cells):
+            ends = [F.col(f"a{c}{k}") + v * (F.col(f"b{c}{k}") - F.col(f"a{c}{k}")) for v in shares]
+            out = out.withColumns({f"__l{c}{k}": F.least(*ends) - 1e-6 * size, f"__h{c}{k}": F.greatest(*ends) + 1e-6 * size})
+        for c, size in zip("xy", cells):
+            out = out.withColumn(f"__c{c}", F.explode(F.sequence(*[F.floor(F.col(f"__{e}{c}{k}") / size) for e in "lh"])))
+        return out
+
+    touch = (F.col("t0") <= F.col("u1") + slack) & (F.col("t1") <= F.col("u0") + slack)
+    for c in "xy":
+        touch = touch & (F.col(f"__l{c}0") <= F.col(f"__h{c}1")) & (F.col(f"__l{c}1") <= F.col(f"__h{c}0"))
     if others is None:
-        met = met.where("track_id_0 < track_id_1")
-    met = met.where((F.col("__cx") == F.greatest("__lx0", "__lx1")) & (F.col("__cy") == F.greatest("__ly0", "__ly1")) & (F.col("__ct") == F.greatest("__lt0", "__lt1")))
-    s, u = crossing(*[F.col(n) for n in ("ax0", "ay0", "bx0", "by0", "ax1", "ay1", "bx1", "by1")])
-    met = met.withColumns({"__s0": s, "__s1": u}).where("__s0 is not null")
+        touch = touch & (F.col("track_id_0") < F.col("track_id_1"))
+    met = salted_join(dealt(a, 0), dealt(b, 1), ["__cx", "__cy", "__ct"], ["track_id_0", "seq_0"], touch)
+    # a generator keeps the two divisions in one place: filters above it aren't pushed through
+    s, u = shares(*[F.col(n) for n in ("ax0", "ay0", "bx0", "by0", "ax1", "ay1", "bx1", "by1")])
+    met = met.select("*", F.inline(F.array(F.struct(s.alias("__s0"), u.alias("__s1")))))
+    met = met.where(F.col("__s0").between(0.0, 1.0) & F.col("__s1").between(0.0, 1.0))
     at = lambda k: F.col(f"t{k}") + F.col(f"__s{k}") * (F.col(f"u{k}") - F.col(f"t{k}"))
-    met = met.withColumn("time_difference", F.abs(at(0) - at(1)) / F.lit(1e6)).where(F.col("time_difference") <= time)
-    mix = lambda c, k: (F.col(f"{c}_a{k}") + F.col(f"__s{k}") * (F.col(f"{c}_b{k}") - F.col(f"{c}_a{k}"))).alias(f"{c}_{k}")
-    return met.select("agent_id_0", "track_id_0", "seq_0", "agent_id_1", "track_id_1", "seq_1",
-                      (F.col("ax0") + F.col("__s0") * (F.col("bx0") - F.col("ax0"))).alias("x"), (F.col("ay0") + F.col("__s0") * (F.col("by0") - F.col("ay0"))).alias("y"),
-                      from_micros(F.round(at(0))).alias("time_0"), from_micros(F.round(at(1))).alias("time_1"), "time_difference", *[mix(c, k) for c in columns for k in (0, 1)])
+    mix = lambda c, k: F.col(f"a{c}{k}") + F.col(f"__s{k}") * (F.col(f"b{c}{k}") - F.col(f"a{c}{k}"))
+    met = met.withColumns({"x": mix("x", 0), "y": mix("y", 0), "__at0": at(0), "__at1": at(1)})
+    when = F.floor(F.least(F.greatest("__at0", "t0"), F.col("u0").cast("double")) / width)
+    met = met.where((F.col("__ct") == when) & (F.col("__cx") == F.floor(F.col("x") / cells[0])) & (F.col("__cy") == F.floor(F.col("y") / cells[1])))
+    met = met.withColumn("time_difference", F.abs(F.col("__at0") - F.col("__at1")) / F.lit(1e6)).where(F.col("time_difference") <= time)
+    value = lambda c, k: (F.col(f"{c}_a{k}") + F.col(f"__s{k}") * (F.col(f"{c}_b{k}") - F.col(f"{c}_a{k}"))).alias(f"{c}_{k}")
+    return met.select("agent_id_0", "track_id_0", "seq_0", "agent_id_1", "track_id_1", "seq_1", "x", "y", from_micros(F.round("__at0")).alias("time_0"),
+                      from_micros(F.round("__at1")).alias("time_1"), "time_difference", *[value(c, k) for c in columns for k in (0, 1)])
 
 
 def proximity_to_object(points: DataFrame, shape: Points, closed: bool = True) -> DataFrame:
@@ -114,17 +157,25 @@ def proximity_to_object(points: DataFrame, shape: Points, closed: bool = True) -
     return best.select("agent_id", "track_id", F.col("b.__f.d").alias("min_distance"), mix("x", "__nx").alias("x"), mix("y", "__ny").alias("y"), from_micros(F.round(mix("__t", "__nt"))).alias("time"))
 
 
-def _common(points: DataFrame, others: DataFrame | None) -> DataFrame:
+def _common(points: DataFrame, others: DataFrame | None, within: float | None = None) -> DataFrame:
+    """Pairs of points of one time. A time with many points is dealt over salts; with a bound, points meet by cells of its width."""
     a, b = _side(points, 0).withColumnRenamed("time_0", "time").drop("seq_0"), _side(points if others is None else others, 1).withColumnRenamed("time_1", "time").drop("seq_1")
-    both = a.join(b, "time")
-    both = both.where("track_id_0 < track_id_1") if others is None else both
-    return both.withColumn("distance", distance(F.col("x_0"), F.col("y_0"), F.col("x_1"), F.col("y_1")))
+    gap, on = distance(F.col("x_0"), F.col("y_0"), F.col("x_1"), F.col("y_1")), ["time"]
+    meet = F.lit(True)
+    if within is not None:
+        a, b, on, meet = cells_of(a, "x_0", "y_0", within), cells_of(b, "x_1", "y_1", within, near=True), ["time", "__cx", "__cy"], gap <= within
+    if others is None:
+        meet = meet & (F.col("track_id_0") < F.col("track_id_1"))
+    return salted_join(a, b, on, ["track_id_0"], meet).withColumn("distance", gap).drop("__cx", "__cy")
+
 
+def proximities(points: DataFrame, others: DataFrame | None = None, within: float | None = None) -> DataFrame:
+    """For each pair of tracks on a common time axis: how many times they share, and the first of least distance.
 
-def proximities(points: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """For each pair of tracks on a common time axis: how many times they share, and the first of least distance."""
+    With `within` only times at which the two are no farther apart count; pairs that never are don't appear.
+    """
     best = F.struct("distance", "time", "x_0", "y_0", "x_1", "y_1")
-    out = _common(points, others).groupBy("track_id_0", "track_id_1").agg(F.count("*").alias("common_timesteps"), F.min(best).alias("b"))
+    out = _common(points, others, within).groupBy("track_id_0", "track_id_1").agg(F.count("*").alias("common_timesteps"), F.min(best).alias("b"))
     return out.select("track_id_0", "track_id_1", "common_timesteps", F.col("b.distance").alias("min_distance"), "b.time", "b.x_0", "b.y_0", "b.x_1", "b.y_1")
 
 
