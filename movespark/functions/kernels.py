@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -81,54 +82,48 @@ def stops(speed: np.ndarray, t: np.ndarray, threshold: float, least: float, shor
 
 
 def simplified_stops(x, y, t, speed, threshold: float, least: float, drift: float) -> np.ndarray:
-    """Positions kept when a stop is reduced to its ends and to the points that begin a leg of drift."""
-    keep = np.ones(len(x), bool)
-    for a, b in stops(speed, t, threshold, least):
-        keep[a : b + 1] = False
-        i = a
-        while i < b:
-            keep[i] = True
-            away = np.flatnonzero(np.hypot(x[i:b] - x[i], y[i:b] - y[i]) >= drift)
-            i = b if not len(away) else i + int(away[0]) + 1
-        keep[b] = True
-    return np.flatnonzero(keep)
+    """Positions kept when a stop is reduced to its ends and to the points that begin a leg of drift.
+
+    A leg is left at its first point that is `drift` or more away from where it began; the point after that begins the next.
+    """
+    drop: list[int] = []
+    for first, last in stops(speed, t, threshold, least):
+        origin, left = first, drift <= 0
+        for p in range(first + 1, last):
+            if left:
+                origin, left = p, drift <= 0
+            else:
+                left = math.hypot(x[p] - x[origin], y[p] - y[origin]) >= drift
+                drop.append(p)
+    return np.delete(np.arange(len(x)), drop)
 
 
 def characteristic(x, y, t, speed, course, slow: float, turn: float, shortest: float, longest: float, least: float) -> np.ndarray:
-    """Positions of characteristic points: ends, stops, and where turns or distance since the last one add up."""
+    """Positions of characteristic points: both ends, stops, and points of a walk from each of these to the next.
+
+    A stop is marked at its first and last point, one of no more than `least` seconds at its last only. From a point i the walk
+    goes to whichever of two comes first before the goal j: the last point within `longest` of i + 1 along the track, or the one
+    as many places after i as there are points in i + 1..j whose course differs by less than `turn` from that at i + 1. The
+    second is passed over if it is no more than `shortest` along the track from i + 1.
+    """
     n = len(x)
-    if n <= 2:
+    if n < 3:
         return np.arange(n)
-    step, turns = np.hypot(np.diff(x), np.diff(y)), np.diff(course)
-    anchors = [[0]]
-    for a, b in stops(speed, t, slow, -np.inf, 1):
-        anchors.append([a, b] if t[b] - t[a] > least else [b])
-    anchors.append([n - 1])
-    keep = {k for a in anchors for k in a}
-    for left, right in zip(anchors, anchors[1:]):
-        i, j = left[-1], right[0]
+    along = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
+    marked = stops(speed, t, slow, -np.inf, 1)
+    begin = [0, *(b for _, b in marked)]
+    goal = [*(a if t[b] - t[a] > least else b for a, b in marked), n - 1]
+    keep = np.zeros(n, bool)
+    keep[begin + goal] = True
+    for i, j in zip(begin, goal):
         while i < j:
-            ds, dt = step[i:j].copy(), turns[i:j].copy()
-            ds[0] = dt[0] = 0
-            d = i + int((np.cumsum(ds) < longest).sum())
-            r = i + int((np.abs(np.cumsum(dt)) < turn).sum())
-            if d == j and r == i:
-                break
-            if d <= r and r != i:
-                to = d
-            elif r <= d and d != i:
-                to = d if ds[: r - i].sum() <= shortest else r
-            elif d > i:
-                to = d
-            elif r > i:
+            far = min(i + int(np.searchsorted(along[i + 1 : j + 1], along[i + 1] + longest)), j)
+            bent = i + int(np.count_nonzero(np.abs(course[i + 1 : j + 1] - course[i + 1]) < turn))
+            i, old = bent if bent < far and along[max(bent, i + 1)] - along[i + 1] > shortest else far, i
+            if i == old:
                 break
-            else:
-                to = d
-            if to <= i:
-                break
-            keep.add(to)
-            i = to
-    return np.array(sorted(k for k in keep if k < n))
+            keep[i] = True
+    return np.flatnonzero(keep)
 
 
 def cheapest_path(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,35 +14,56 @@ from ..functions import kernels
 from ..functions.tracks import track
 
 
-def _keep(points: DataFrame, positions, flag: str | None = None) -> DataFrame:
-    """The rows at positions(frame) of each track, numbered again, or all rows with a flag."""
+def _keep(points: DataFrame, columns: Sequence[str], positions: Callable[..., np.ndarray], flag: str | None = None) -> DataFrame:
+    """The rows at positions(*arrays of the columns) of each track, numbered again, or all rows with a flag.
+
+    Tracks are dealt by hash and sorted, and a task goes through its batches: what it holds is a batch and the track that goes on.
+    """
     schema = T.StructType([*points.schema.fields, T.StructField(flag, T.BooleanType())]) if flag else points.schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        at = positions(pdf)
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [pdf[c].to_numpy() for c in ("agent_id", "track_no")]
+        edges = np.flatnonzero(np.logical_or(*(k[1:] != k[:-1] for k in keys))) + 1
+        edges = [0, *edges.tolist(), len(pdf)]
+        arrays = [kernels.secs(pdf[c]) if c == "time" else pdf[c].to_numpy(float) for c in columns]
+        found = [np.asarray(positions(*(a[lo:hi] for a in arrays)), int) for lo, hi in zip(edges, edges[1:])]
+        at = np.concatenate([lo + f for lo, f in zip(edges, found)])
         if flag:
             return pdf.assign(**{flag: np.isin(np.arange(len(pdf)), at)})
-        out = pdf.iloc[at]
-        return out.assign(seq=np.arange(len(out), dtype=np.int32))
+        return pdf.iloc[at].assign(seq=np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # the last track of a batch may go on in the next
+            last = (pdf["agent_id"] == pdf["agent_id"].iloc[-1]) & (pdf["track_no"] == pdf["track_no"].iloc[-1])
+            lo = int(np.flatnonzero(~last.to_numpy())[-1]) + 1 if not last.all() else 0
+            same = bool(held) and held[-1]["agent_id"].iloc[-1] == pdf["agent_id"].iloc[0] and held[-1]["track_no"].iloc[-1] == pdf["track_no"].iloc[0]
+            if held and (lo or not same):
+                whole = pd.concat([*held, pdf.iloc[:lo]], ignore_index=True)
+                held = []
+                yield kept(whole)
+            elif lo:
+                yield kept(pdf.iloc[:lo].reset_index(drop=True))
+            held.append(pdf.iloc[lo:])
+        if held:
+            yield kept(pd.concat(held, ignore_index=True))
 
-    return points.groupBy("agent_id", "track_no").applyInPandas(run, schema)
+    return points.repartition("agent_id", "track_no").sortWithinPartitions("agent_id", "track_no", "seq").mapInPandas(run, schema)
 
 
 def decimate(points: DataFrame, epsilon: float = 1.0) -> DataFrame:
     """Ramer-Douglas-Peucker; rows that stay keep all their values."""
-    return _keep(points, lambda p: kernels.rdp(p["x"].to_numpy(float), p["y"].to_numpy(float), epsilon))
+    return _keep(points, ("x", "y"), lambda x, y: kernels.rdp(x, y, epsilon))
 
 
 def characteristic(points: DataFrame, stop_threshold: float = 0.15, turn_threshold: float = 22.5, min_distance: float = 500, max_distance: float = 20000,
                    min_stop_duration: float = 1800, flag: str | None = "characteristic") -> DataFrame:
     """Characteristic points, flagged or, with flag=None, alone. Needs speed and coursing."""
-    return _keep(
-        points,
-        lambda p: kernels.characteristic(*(p[c].to_numpy(float) for c in ("x", "y")), kernels.secs(p["time"]), p["speed"].to_numpy(float), p["coursing"].to_numpy(float),
-                                         stop_threshold, turn_threshold, min_distance, max_distance, min_stop_duration),
-        flag,
-    )
+    bounds = stop_threshold, turn_threshold, min_distance, max_distance, min_stop_duration
+    return _keep(points, ("x", "y", "time", "speed", "coursing"), lambda *a: kernels.characteristic(*a, *bounds), flag)
 
 
 def simplify_stops(points: DataFrame, threshold: float = 0.15, least: float = 1800, drift: float | None = 1000, speed_col: str = "speed") -> DataFrame:
@@ -53,4 +76,4 @@ def simplify_stops(points: DataFrame, threshold: float = 0.15, least: float = 18
         inner = F.col("code-1") & (F.col("seq") > F.min("seq").over(w.orderBy().rowsBetween(-(2**63), 2**63 - 1))) & (F.col("seq") < F.max("seq").over(w.orderBy().rowsBetween(-(2**63), 2**63 - 1)))
         left = marked.withColumn("__in", inner).where("not __in").drop("__in", "__run", "code-1")
         return left.withColumn("seq", (F.row_number().over(track()) - 1).cast("int"))
-    return _keep(points, lambda p: kernels.simplified_stops(p["x"].to_numpy(float), p["y"].to_numpy(float), kernels.secs(p["time"]), p[speed_col].to_numpy(float), threshold, least, drift))
+    return _keep(points, ("x", "y", "time", speed_col), lambda *a: kernels.simplified_stops(*a, threshold, least, drift))

@@ -12,8 +12,8 @@ from hypothesis import strategies as st
 
 from movespark import Dataset, from_df, from_lines
 from movespark.functions import clustering, kernels
-from movespark.operators import classify, features, mapping, meta, pairs, resample, simplify, split, zones
-from movespark.plans.joins import interval_join
+from movespark.operators import classify, export, features, mapping, meta, pairs, resample, simplify, split, zones
+from movespark.plans.joins import interval_join, salted_join
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -199,3 +199,88 @@ def test_streaming_split(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.track_no for r in spark.table("tracks").orderBy("time").collect()] == [0, 0, 1, 2]
+
+
+def test_raster_cells_are_closed(spark):
+    def touched(pts):
+        out = export.rasterize(track(spark, pts), 0.0, 0.0, 3, 3, 10.0, 10.0).collect()
+        assert all(r.value == 1.0 for r in out)
+        return {(r.row, r.col) for r in out}
+
+    assert touched([(0, 0, 10), (1, 30, 10)]) == {(r, c) for r in (0, 1) for c in range(3)}  # along a border
+    assert touched([(0, 10, 10)]) == {(0, 0), (0, 1), (1, 0), (1, 1)}  # one point on a corner
+    assert touched([(0, 1, 1), (1, 9, 9)]) == {(0, 0)}
+    assert touched([(0, 0, 0), (1, 30, 30)]) == {(r, c) for r in range(3) for c in range(3) if abs(r - c) <= 1}
+    assert touched([(0, -5, 5), (1, -1, 5)]) == set()
+
+
+@given(st.lists(st.tuples(st.floats(-5, 35), st.floats(-5, 35)), min_size=1, max_size=2))
+@settings(max_examples=15, deadline=None)
+def test_raster_against_samples_along_a_step(spark, pts):
+    got = {(r.row, r.col) for r in export.rasterize(track(spark, [(k, *p) for k, p in enumerate(pts)]), 0.0, 0.0, 3, 3, 10.0, 10.0).collect()}
+    (ax, ay), (bx, by) = pts[0], pts[-1]
+    along = [(ax + s * (bx - ax), ay + s * (by - ay)) for s in np.linspace(0, 1, 401)]
+    sure = {(int(y // 10), int(x // 10)) for x, y in along if 0 < x < 30 and 0 < y < 30}
+    near = {(r, c) for r in range(3) for c in range(3) if any(c * 10 - 0.2 <= x <= c * 10 + 10.2 and r * 10 - 0.2 <= y <= r * 10 + 10.2 for x, y in along)}
+    assert sure <= got <= near
+
+
+def test_full_cells_are_salted(spark):
+    a = spark.range(3000).selectExpr("id", "id % 3 as k").withColumn("x", split.F.lit(1))
+    b = spark.range(40).selectExpr("id as other", "id % 4 as k")
+    got = salted_join(a, b, ["k"], ["id"], split.F.col("id") % 7 < split.F.col("other"), full=100)
+    assert sorted(got.columns) == ["id", "k", "other", "x"]
+    want = sum(1 for i in range(3000) for o in range(40) if i % 3 == o % 4 and i % 7 < o)
+    assert got.count() == want
+
+
+@given(st.integers(0, 10_000))
+@settings(max_examples=200, deadline=None)
+def test_characteristic_points_against_the_prose(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 30))
+    x, y = np.cumsum(rng.normal(size=(2, n)), 1)
+    t, speed, course = np.cumsum(rng.integers(1, 50, n)).astype(float), rng.random(n), rng.random(n) * 360
+    slow, turn, shortest, longest, least = 0.3, float(rng.choice([20.0, 90.0])), float(rng.choice([0, 0.5, 3.0])), float(rng.choice([0.5, 3.0, 8.0])), 30.0
+    want, goals, starts = {0, n - 1} if n > 2 else set(range(n)), [], [0]
+    p = 0
+    while p < n:
+        q = p
+        while q < n and speed[q] <= slow:
+            q += 1
+        if q > p:
+            goals.append(p if t[q - 1] - t[p] > least else q - 1)
+            starts.append(q - 1)
+        p = max(q, p + 1)
+    goals.append(n - 1)
+    if n > 2:
+        want |= {*goals, *starts}
+        for i, j in zip(starts, goals):
+            while i < j:
+                far, way = i + 1, 0.0
+                while far < j and way + math.hypot(x[far + 1] - x[far], y[far + 1] - y[far]) < longest:
+                    way += math.hypot(x[far + 1] - x[far], y[far + 1] - y[far])
+                    far += 1
+                bent = i + sum(abs(course[k] - course[i + 1]) < turn for k in range(i + 1, j + 1))
+                length = sum(math.hypot(x[k + 1] - x[k], y[k + 1] - y[k]) for k in range(i + 1, bent))
+                i = bent if bent < far and length > shortest else far
+                want.add(i)
+    assert sorted(want) == kernels.characteristic(x, y, t, speed, course, slow, turn, shortest, longest, least).tolist()
+
+
+def test_a_stop_is_left_as_legs_of_drift():
+    x, zero = np.array([0.0, 1, 2, 5, 5, 5, 9, 9, 50]), np.zeros(9)
+    speed, t = np.array([0.0] * 8 + [9]), np.arange(9.0) * 1000
+    assert kernels.simplified_stops(x, zero, t, speed, 0.1, 1800, 3.0).tolist() == [0, 4, 7, 8]
+    assert kernels.simplified_stops(x, zero, t, speed, 0.1, 1800, 100.0).tolist() == [0, 7, 8]
+    assert kernels.simplified_stops(x, zero, t, speed, 0.1, 90_000, 3.0).tolist() == list(range(9))
+
+
+def test_tracks_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        both = track(spark, [(k, k, k % 2 * 5) for k in range(40)], "a").unionByName(track(spark, [(k, k, 0) for k in range(30)], "b"))
+        out = simplify.decimate(both, 0.5).orderBy("agent_id", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.agent_id, r.seq, r.x) for r in out] == [("a", k, float(k)) for k in range(40)] + [("b", 0, 0.0), ("b", 1, 29.0)]
