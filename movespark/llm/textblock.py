@@ -48,10 +48,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Block:
     """Texts lo..hi of a batch. starts, ends: of the words, in bytes; first: index of each text's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, between: np.ndarray = _SPACE):
         self.lo, self.hi, self.offsets = lo, hi, offsets - offsets[0]
         self.data = _LOWER[data] if lower else data
-        word = ~_SPACE[self.data]
+        word = ~between[self.data]
         before, after = np.empty(len(word), bool), np.empty(len(word), bool)
         before[1:], after[:-1] = ~word[:-1], ~word[1:]
         before[self.offsets[:-1][self.offsets[:-1] < len(word)]] = True
@@ -68,11 +68,17 @@ class Block:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def word_hashes(self) -> np.ndarray:
+        return self.with_beginnings(())[0]
+
+    def with_beginnings(self, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, then of the beginnings of so many bytes of longer words, and the word that each is of."""
         up, down = _power_table(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_bytes_table()[self.data] * up[: len(self.data)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mixed(h + (self.ends - self.starts).astype(np.uint64))
+        length, words = self.ends - self.starts, np.arange(len(self.starts))
+        parts = [(words, length), *((w, np.full(len(w), n)) for n in sizes for w in [np.flatnonzero(length > n)])]
+        h = [mixed((total[self.starts[w] + n] - total[self.starts[w]]) * down[self.starts[w]] + n.astype(np.uint64)) for w, n in parts]
+        return np.concatenate(h), np.concatenate([w for w, _ in parts])
 
     def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words in a row inside one text, and the index of each window's first word."""
@@ -86,8 +92,8 @@ class Block:
         return mixed(out[inside]), inside
 
 
-def blocks(texts: pa.Array, lower: bool = False) -> Iterator[Block]:
-    """Blocks of whole texts of about BLOCK bytes; null texts are empty."""
+def blocks(texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -> Iterator[Block]:
+    """Blocks of whole texts of about BLOCK bytes; null texts are empty. `between` marks the bytes that separate words."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     if not len(texts):
         return
@@ -97,5 +103,5 @@ def blocks(texts: pa.Array, lower: bool = False) -> Iterator[Block]:
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
-        yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lo, hi, lower)
+        yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lo, hi, lower, between)
         lo = hi

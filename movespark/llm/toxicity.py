@@ -1,14 +1,16 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-Terms are those whose presence goes with the label among labelled examples; their document frequencies
-are counted over all documents. A text's nearest examples are found exactly: blocks of examples are visited
-in the order of an upper bound made of each term's largest weight in the block, until no block can hold a
-nearer one. Votes weighted by distance are calibrated on the examples, each left out in turn.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Terms are words and their beginnings of a few bytes, all that the examples have. A term weighs (1 + log tf) * idf, by
+its document frequency over all documents, times how much it says about the label among the examples (its share of
+the information on the class, and a small constant for terms that say nothing). A text's nearest examples are
+found exactly: postings of rarer terms are added up, frequent terms are bounded by their largest weight in each block of
+examples, and blocks are completed only where partial sum and bound reach the nearest found. Votes weighted by
+distance are calibrated on the examples, each left out in turn.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,177 +19,253 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, fold, stage
-
-#: A term: letters and digits; bytes over 127 (parts of characters outside ASCII) count as letters.
-TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
-BLOCK, NEAREST = 64, 25
+from .common import documents, fold, stage
+from .textblock import blocks
 
+#: Terms: runs of letters and digits, A-Z lower-cased; bytes over 127 (parts of characters outside ASCII) count as letters.
+_BETWEEN = np.array([not (chr(b).isalnum() and b < 128) and b < 128 for b in range(256)])
+#: Bytes of the beginnings of longer words that are terms too: words are inflected and compounded.
+BEGINNINGS = (4, 5, 6, 7)
+#: Examples of a block, neighbours that vote, entries of the dense table of frequent terms, texts searched together, and the weight of a term that says nothing.
+BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 23, 128, 0.1
 
-def labelled(labels: DataFrame, folds: int, held: int, per_class: int) -> dict[int, int]:
-    """Up to per_class labelled ids of either class, those of smallest hash, outside the held-out fold.
 
-    The bound is what the classifier is fitted on. Null ids and labels are left out; an id with both labels is toxic.
-    """
+def training(labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """Labels to learn from: a row (doc_id, toxic) for each id outside the held-out fold. An id with both labels is toxic."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)")
     if folds:
         rows = rows.where(fold(F.col("doc_id"), folds) != held)
-    one = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def labelled(rows: DataFrame, per_class: int) -> dict[int, int]:
+    """Up to per_class ids of either class, those of smallest hash: the bound of what the classifier is fitted on."""
     found: dict[int, int] = {}
     for kind in (0, 1):
-        found |= {r.doc_id: kind for r in one.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()}
+        found |= {r.doc_id: kind for r in rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()}
     return found
 
 
-def base_rate(labels: DataFrame) -> float:
-    row = labels.where("toxic in (0, 1)").agg(F.avg(F.col("toxic").cast("double")).alias("rate")).collect()[0]
-    return min(max(row.rate or 0.0, 1e-4), 0.5)
+def terms_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For blocks of texts: ascending distinct terms (hashes), and for each occurrence its text and its term; and the number of texts."""
+    for b in blocks(texts, lower=True, between=_BETWEEN):
+        h, word = b.with_beginnings(BEGINNINGS)
+        text = np.repeat(np.arange(len(b.n_words)), b.n_words)[word]
+        known, term = np.unique(h, return_inverse=True)
+        yield known, text, term, len(b.n_words)
 
 
-def telling_terms(docs: DataFrame, examples: dict[int, int], most: int, least_g2: float = 15.0, lift: float = 3.0) -> list[bytes]:
-    """Terms whose presence in the examples goes with the label, most telling first.
+def counted(texts: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of texts: where each text's terms begin and the last ends, the numbers of its terms in the vocabulary, ascending, and how often it has each."""
+    size = max(1, len(vocabulary))
+    for known, text, term, n in terms_of(texts):
+        at = np.minimum(np.searchsorted(vocabulary, known), size - 1)
+        number = np.where(vocabulary[at] == known, at, -1) if len(vocabulary) else np.full(len(known), -1)
+        number = number[term]
+        ok = number >= 0
+        key, tf = np.unique(text[ok] * size + number[ok], return_counts=True)
+        yield np.searchsorted(key, np.arange(n + 1) * size), key % size, tf
 
-    The likelihood ratio is over least_g2, one class has the term `lift` times as often as the other, and at
-    least one in 200 of a class has it: common words of both classes say nothing, rare ones little.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(examples)
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            hit = [k for k, i in enumerate(ids) if i in known]
-            texts = batch.column(1).take(pa.array(hit, pa.int64())).to_pylist()
-            rows = {(known[ids[k]], tuple(sorted(set(TERM.findall((t or b"").lower()))))) for k, t in zip(hit, texts)}
-            for toxic, words in rows:
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic] * len(words), pa.int32()),
-                                                  pa.array([hash_of(words)] * len(words), pa.int64())], names=["term", "toxic", "doc"])
-
-    def hash_of(words: tuple[bytes, ...]) -> int:
-        import xxhash
-
-        return xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
-
-    seen = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(terms, "term binary, toxic int, doc long").distinct()
-    total = {0: 0, 1: 0} | {kind: sum(v == kind for v in examples.values()) for kind in (0, 1)}
-    n1, n0 = F.lit(float(max(1, total[1]))), F.lit(float(max(1, total[0])))
-    by = seen.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).where("a + b >= 4")
-    rate = (F.col("a") + F.col("b")) / (n1 + n0)
-
-    def part(k, expected):
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
-
-    g2 = 2 * (part(F.col("a"), n1 * rate) + part(F.col("b"), n0 * rate) + part(n1 - F.col("a"), n1 * (1 - rate)) + part(n0 - F.col("b"), n0 * (1 - rate)))
-    pa_, pb = F.col("a") / n1, F.col("b") / n0
-    by = by.where((F.greatest(pa_, pb) >= lift * F.least(pa_, pb)) & (F.greatest(pa_, pb) >= 0.005))
-    by = by.where(rate < 1).withColumn("g2", g2).where(F.col("g2") >= least_g2)
-    return [bytes(r.term) for r in by.orderBy(F.desc("g2"), "term").limit(most).select("term").collect()]
-
-
-def term_counts(text: bytes | None, number: dict[bytes, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """The numbers of a text's telling terms, ascending, and how often it has each."""
-    seen: dict[int, int] = {}
-    if text:
-        words = TERM.findall(text.lower())
-        if not number.keys().isdisjoint(words):
-            for k in map(number.get, words):
-                if k is not None:
-                    seen[k] = seen.get(k, 0) + 1
-    terms = tuple(sorted(seen))
-    return terms, tuple(seen[k] for k in terms)
-
-
-def vectors(docs: DataFrame, terms: list[bytes], keep: list[str]) -> DataFrame:
-    """The columns named in keep, with the numbers and counts of the telling terms of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
-    what = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema), "terms array<int>, tfs array<int>"])
+def example_terms(docs: DataFrame, examples: dict[int, int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(doc_id, terms, counts) of the labelled texts. Where an id occurs with several texts, the one of smallest hash is taken."""
+    ids = docs.sparkSession.createDataFrame([(d,) for d in examples], "doc_id long")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value
         for batch in batches:
-            found = [term_counts(t, number) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=[*keep, "terms", "tfs"])
+            out = []
+            for known, text, term, n in terms_of(batch.column(1)):
+                key, tf = np.unique(text * len(known) + term, return_counts=True)
+                edges = np.searchsorted(key, np.arange(n + 1) * len(known))
+                out += [(known[key[a:z] % len(known)].tobytes(), tf[a:z].astype("<u4").tobytes()) for a, z in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "tfs"])
+
+    rows = one.select(F.col("doc_id").cast("long").alias("doc_id"), "m.text").mapInArrow(run, "doc_id long, terms binary, tfs binary").collect()
+    return [(r.doc_id, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.tfs, "<u4").astype(np.int64)) for r in rows]
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are.
+
+    Each task adds up its documents and passes on one compressed vector; these are added up in a tree.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def packed(total: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), pa.array([n], pa.int64())], names=["df", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, terms, _ in counted(batch.column(0), sent.value):
+                total += np.bincount(terms, minlength=len(total))[: len(total)]
+        if n:
+            yield packed(total, n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            for v, k in zip(batch.column(0), batch.column(1).to_pylist()):
+                total, n = total + np.frombuffer(zlib.decompress(v.as_py()), np.int64), n + k
+        if n:
+            yield packed(total, n)
+
+    parts = stage(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "df binary, n long"), "frequencies")
+    tasks = parts.count()
+    while tasks > 16:
+        tasks = -(-tasks // 16)
+        parts = parts.repartition(tasks).mapInArrow(add, "df binary, n long")
+    total, n = np.zeros(len(vocabulary), np.int64), 0
+    for r in parts.collect():
+        total, n = total + np.frombuffer(zlib.decompress(r.df), np.int64), n + r.n
+    return total, n
 
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("binary").alias("__text")).mapInArrow(run, what)
+
+def information(present: np.ndarray, toxic: np.ndarray, n: int, n_toxic: float) -> np.ndarray:
+    """Share of the information on the class that a term's presence gives, less what the luckiest of as many terms gives by chance."""
+    clean, n_clean = present - toxic, n - n_toxic
+    rate = present / max(n, 1)
+
+    def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    g = part(toxic, n_toxic * rate) + part(clean, n_clean * rate) + part(n_toxic - toxic, n_toxic * (1 - rate)) + part(n_clean - clean, n_clean * (1 - rate))
+    share = n_toxic / max(n, 1)
+    whole = -n * sum(p * np.log(p) for p in (share, 1 - share) if p > 0)
+    return np.maximum(g - np.log(max(len(present), 1)), 0.0) / max(whole, 1e-12)
 
 
 @dataclass
 class Index:
-    """Examples in blocks, with postings and the largest weight of each term in each block."""
+    """Examples in blocks, with postings of rarer terms, weights of frequent ones and their largest in each block."""
 
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    factor: np.ndarray  # idf by what the term says about the class
     ids: np.ndarray
-    toxic: np.ndarray  # shares of toxic documents among those with this vector, and their numbers
+    toxic: np.ndarray  # shares of toxic documents among those with this vector, and how much they weigh
     weight: np.ndarray
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    begin: np.ndarray  # postings of the rarer terms
+    example: np.ndarray
+    value: np.ndarray
+    row: np.ndarray  # rows of the frequent ones, -1 for the others
+    dense: np.ndarray  # blocks, frequent terms, examples of a block
     largest: np.ndarray
     steps: tuple[np.ndarray, np.ndarray]
     prior: float
 
     @classmethod
-    def build(cls, rows: list[tuple[int, list[int], list[int]]], examples: dict[int, int], idf: np.ndarray, rate: float) -> Index:
-        groups: dict[tuple, list] = {}
-        for doc, terms, tfs in sorted(rows):
-            groups.setdefault((tuple(terms), tuple(tfs)), []).append(doc)
+    def build(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], examples: dict[int, int], vocabulary: np.ndarray, idf: np.ndarray, rate: float, dense: int = DENSE) -> Index:
+        """rows: (doc_id, numbers of terms in the vocabulary, ascending, and how often it has each)."""
+        groups: dict[tuple[bytes, bytes], list] = {}
+        for doc, terms, tfs in sorted(rows, key=lambda r: r[0]):
+            groups.setdefault((terms.astype(np.int64).tobytes(), tfs.astype(np.int64).tobytes()), []).append(doc)
         n = [max(1, sum(examples[r[0]] == k for r in rows)) for k in (0, 1)]
         of_class = [(1 - rate) / n[0], rate / n[1]]  # so that both classes weigh as in the corpus
-        empty = groups.pop(((), ()), [])
+        empty = groups.pop((b"", b""), [])
         prior = sum(of_class[1] for d in empty if examples[d]) / max(sum(of_class[examples[d]] for d in empty), 1e-12) if empty else rate
-        keys = sorted(groups)
+        # like ones into one block: by class, then by their most frequent terms
+        keys = sorted(groups, key=lambda k: (examples[groups[k][0]], np.frombuffer(k[0], np.int64)[np.argsort(idf[np.frombuffer(k[0], np.int64)], kind="stable")[:8]].tolist(), groups[k][0]))
         ids = np.array([groups[k][0] for k in keys], np.int64)
-        toxic = np.array([[sum(of_class[examples[d]] for d in groups[k] if examples[d]), sum(of_class[examples[d]] for d in groups[k])] for k in keys]).reshape(-1, 2)
-        self = cls(idf, ids, toxic[:, 0] / toxic[:, 1], toxic[:, 1], [], np.zeros((len(idf), -(-len(keys) // BLOCK))), (np.array([0.0]), np.array([rate])), prior)
-        for b in range(0, len(keys), BLOCK):
-            lists: dict[int, list] = {}
-            for k, key in enumerate(keys[b : b + BLOCK]):
-                for t, w in zip(*self.weigh(*key)):
-                    lists.setdefault(t, []).append((k, w))
-            self.postings.append({t: (np.array([k for k, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()})
-            for t, x in lists.items():
-                self.largest[t, b // BLOCK] = max(w for _, w in x)
-        self._calibrate(keys, rate)
+        mass = np.array([[sum(of_class[examples[d]] for d in groups[k] if examples[d]), sum(of_class[examples[d]] for d in groups[k])] for k in keys]).reshape(-1, 2)
+        vectors = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for a, b in keys]
+        kinds = np.array([sum(examples[d] for d in groups[k]) / len(groups[k]) for k in keys])
+        size, m = len(idf), len(keys)
+        flat = np.concatenate([t for t, _ in vectors]) if m else np.empty(0, np.int64)
+        lengths = np.array([len(t) for t, _ in vectors], np.int64)
+        present = np.bincount(flat, minlength=size).astype(float)
+        says = information(present, np.bincount(flat, np.repeat(kinds, lengths), size), m, kinds.sum())
+        factor = idf * (PLAIN * (says.max(initial=0.0) or 1.0) + says)
+        weights = (1 + np.log(np.concatenate([f for _, f in vectors]) if m else np.empty(0))) * factor[flat]
+        owner = np.repeat(np.arange(m), lengths)
+        weights = (weights / np.sqrt(np.bincount(owner, weights * weights, m))[owner]).astype(np.float32)
+        # the most frequent terms go to the dense table, as many as it holds
+        n_blocks = max(1, -(-m // BLOCK))
+        often = np.argsort(-present, kind="stable")[: dense // (n_blocks * BLOCK)]
+        often = np.sort(often[present[often] > 8])
+        row = np.full(size, -1, np.int32)
+        row[often] = np.arange(len(often))
+        table = np.zeros((n_blocks, len(often), BLOCK), np.float32)
+        hot = row[flat] >= 0
+        table[owner[hot] // BLOCK, row[flat[hot]], owner[hot] % BLOCK] = weights[hot]
+        order = np.argsort(flat[~hot], kind="stable")
+        begin = np.searchsorted(flat[~hot][order], np.arange(size + 1))
+        self = cls(vocabulary, factor.astype(np.float32), ids, mass[:, 0] / mass[:, 1], mass[:, 1], begin, owner[~hot][order].astype(np.int32), weights[~hot][order], row, table,
+                   table.max(2).T.astype(np.float64).copy(), (np.array([0.0]), np.array([rate])), prior)
+        if m:
+            self._calibrate(vectors, rate)
         return self
 
-    def weigh(self, terms: tuple[int, ...], tfs: tuple[int, ...]) -> tuple[list[int], list[float]]:
-        w = (1 + np.log(np.array(tfs, float))) * self.idf[list(terms)]
-        return list(terms), (w / np.sqrt((w * w).sum())).tolist()
-
-    def nearest(self, terms: tuple[int, ...], tfs: tuple[int, ...], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 and these cosines, ties by position: exact."""
-        terms, q = self.weigh(terms, tfs)
-        bound = np.array(q) @ self.largest[terms]
-        at, cos = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(cos) == k and bound[b] < cos[-1] - 1e-12):
-                break
-            sims = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                if t in self.postings[b]:
-                    where, weights = self.postings[b][t]
-                    sims[where] += w * weights
-            hit = np.flatnonzero(sims > 0)
-            at, cos = np.concatenate([at, hit + b * BLOCK]), np.concatenate([cos, sims[hit]])
-            order = np.lexsort((at, -np.round(cos, 12)))[:k]
-            at, cos = at[order], cos[order]
-        return at, cos
-
-    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
+    def nearest(self, edges: np.ndarray, terms: np.ndarray, tfs: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the k examples of largest cosine and these cosines (0: none), ties by position: exact.
+
+        edges: where each text's terms begin, and the end of the last.
+        """
+        n, n_blocks = len(edges) - 1, len(self.dense)
+        owner = np.repeat(np.arange(n), np.diff(edges))
+        q = (1 + np.log(tfs)) * self.factor[terms].astype(np.float64)
+        q /= np.sqrt(np.bincount(owner, q * q, n))[owner]
+        # postings of the rarer terms
+        rare = np.flatnonzero(self.row[terms] < 0)
+        count = self.begin[terms[rare] + 1] - self.begin[terms[rare]]
+        at = np.arange(int(count.sum())) + np.repeat(self.begin[terms[rare]] - (np.cumsum(count) - count), count)
+        place = np.repeat(owner[rare] * (n_blocks * BLOCK), count) + self.example[at]
+        sums = np.bincount(place, np.repeat(q[rare], count) * self.value[at], n * n_blocks * BLOCK).reshape(n, n_blocks, BLOCK)
+        # what the frequent terms may add in each block at most
+        often = np.flatnonzero(self.row[terms] >= 0)
+        query = np.zeros((n, self.dense.shape[1]))
+        query[owner[often], self.row[terms[often]]] = q[often]
+        bound = sums.max(2) + query @ self.largest
+        done, best = np.zeros((n, n_blocks), bool), np.full((n, k), -1.0)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :4]
+        want = np.zeros((n, n_blocks), bool)
+        want[np.arange(n)[:, None], first] = True
+        for _ in range(2):
+            for b in np.flatnonzero(want.any(0)).tolist():
+                texts = np.flatnonzero(want[:, b])
+                sums[texts, b] += query[texts] @ self.dense[b].astype(np.float64)
+            done |= want
+            cos = np.where(done[:, :, None], sums, -1.0).reshape(n, -1)
+            width = min(k, cos.shape[1])
+            best = -np.partition(-cos, width - 1, axis=1)[:, width - 1]
+            want = ~done & (bound >= np.maximum(best, 0.0)[:, None] - 1e-9) & (bound > 0)
+            if width < k:
+                want = ~done
+        cos = np.round(cos, 12)
+        cos[:, len(self.ids):] = -1.0
+        near = np.argsort(-cos, axis=1, kind="stable")[:, :k] if n * cos.shape[1] < 4096 else self._top(cos, k)
+        return near, np.maximum(np.take_along_axis(cos, near, 1), 0.0)
+
+    @staticmethod
+    def _top(cos: np.ndarray, k: int) -> np.ndarray:
+        """Positions of the k largest of each row, largest first, ties by position."""
+        k = min(k, cos.shape[1])
+        least = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
+        out = np.empty((len(cos), k), np.int64)
+        for i, row in enumerate(cos):
+            hit = np.flatnonzero(row >= least[i])
+            out[i] = hit[np.argsort(-row[hit], kind="stable")[:k]]
+        return out
+
+    def vote(self, near: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Votes weigh 1 / (distance + 0.1), times how common the example is; some weight is the prior's."""
-        w = self.weight[at] / (1.1 - np.minimum(cos, 1.0))
-        return float(((w * self.toxic[at]).sum() + 1e-6 * self.prior) / (w.sum() + 1e-6))
+        w = np.where(cos > 0, self.weight[np.minimum(near, len(self.ids) - 1)] / (1.1 - np.minimum(cos, 1.0)), 0.0)
+        return ((w * self.toxic[np.minimum(near, len(self.ids) - 1)]).sum(1) + 1e-9 * self.prior) / (w.sum(1) + 1e-9)
 
-    def _calibrate(self, keys: list, rate: float) -> None:
+    def _calibrate(self, vectors: list, rate: float) -> None:
         """Pooled adjacent violators over the votes that each example gets from the others."""
-        if not keys:
-            return
-        votes = []
-        for k, key in enumerate(keys):
-            at, cos = self.nearest(*key, NEAREST + 1)
-            votes.append(self.vote(at[at != k], cos[at != k]))
-        order = np.argsort(votes, kind="stable")
+        votes = np.empty(len(vectors))
+        for lo in range(0, len(vectors), TOGETHER):
+            part = vectors[lo : lo + TOGETHER]
+            near, cos = self.nearest(np.cumsum([0, *(len(t) for t, _ in part)]), *(np.concatenate(c) for c in zip(*part)), NEAREST + 1)
+            own = near == np.arange(lo, lo + len(part))[:, None]
+            own[~own.any(1), -1] = True  # pushed out by others as near: leave out the last instead
+            keep = np.argsort(own, axis=1, kind="stable")[:, : near.shape[1] - 1]
+            votes[lo : lo + len(part)] = self.vote(np.take_along_axis(near, keep, 1), np.take_along_axis(cos, keep, 1))
         pools: list[list[float]] = []
-        for k in order:
+        for k in np.argsort(votes, kind="stable"):
             pools.append([votes[k], self.toxic[k] * self.weight[k], self.weight[k]])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 v, a, n = pools.pop()
@@ -195,90 +273,79 @@ class Index:
         floor = self.weight.min() * rate
         self.steps = np.array([p[0] for p in pools]), np.array([(p[1] + floor * rate) / (p[2] + floor) for p in pools])
 
-    def score(self, terms: tuple[int, ...], tfs: tuple[int, ...]) -> tuple[float, list[int]]:
-        """The calibrated score, and the ids of the nearest examples as evidence. A text without terms gets the prior."""
-        if not terms:
-            return float(min(max(self.prior, 0.0), 1.0)), []
-        at, cos = self.nearest(terms, tfs)
-        if not len(at):
-            return float(min(max(self.prior, 0.0), 1.0)), []
-        score = np.interp(self.vote(at, cos), *self.steps)
-        return float(min(max(score, 0.0), 1.0)), self.ids[at[:3]].tolist()
-
-
-def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int, most_terms: int, found: list | None = None) -> tuple[Index, list[bytes]]:
-    """The index of examples and the telling terms. If found is a list, the staged vectors of docs are put there."""
-    examples = labelled(labels, folds, held, per_class)
-    terms = telling_terms(docs, examples, most_terms) if examples else []
-    made = stage(vectors(docs, terms, ["doc_id"]), "terms")
-    n = made.count()
-    df = np.zeros(max(1, len(terms)))
-    for r in made.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r.t] = r["count"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    ids = docs.sparkSession.createDataFrame([(d,) for d in examples], "doc_id long")
-    rows = [(r.doc_id, r.terms, r.tfs) for r in made.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()]
-    if found is None:
-        discard(made)
-    else:
-        found.append(made)
-    return Index.build(rows, examples, idf, base_rate(labels)), terms
-
-
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000, most_terms: int = 256) -> DataFrame:
+    def scores(self, edges: np.ndarray, terms: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Calibrated scores, and the ids of the three nearest examples as evidence. A text that has no term of any example gets the prior."""
+        n = len(edges) - 1
+        out, evidence = np.full(n, self.prior), [[] for _ in range(n)]
+        if len(self.ids):
+            for lo in range(0, n, TOGETHER):
+                hi = min(n, lo + TOGETHER)
+                some = np.flatnonzero(np.diff(edges[lo : hi + 1])) + lo
+                if not len(some):
+                    continue
+                a, z = edges[lo], edges[hi]
+                near, cos = self.nearest(np.append(edges[some], z) - a, terms[a:z], tfs[a:z])
+                out[some] = np.interp(self.vote(near, cos), *self.steps)
+                for i, ks, c in zip(some.tolist(), near[:, :3], cos[:, :3]):
+                    evidence[i] = self.ids[ks[c > 0]].tolist()
+        return np.clip(out, 0.0, 1.0), evidence
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int) -> Index:
+    """The index of the labelled examples outside the held-out fold, with document frequencies of all documents."""
+    rows = stage(training(labels, folds, held), "labels")
+    examples = labelled(rows, per_class)
+    rate = rows.agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0] or 0.0
+    found = example_terms(docs, examples) if examples else []
+    vocabulary = np.unique(np.concatenate([t for _, t, _ in found])) if found else np.empty(0, np.uint64)
+    df, n = document_frequencies(docs, vocabulary) if len(vocabulary) else (np.empty(0, np.int64), 0)
+    idf = np.log((n + 1) / (df + 1)) + 0.1
+    return Index.build([(d, np.searchsorted(vocabulary, t), f) for d, t, f in found], examples, vocabulary, idf, min(max(rate, 1e-4), 0.5))
+
+
+def _judge(index: Index, texts: pa.Array) -> tuple[list[float], list[list[int]]]:
+    scores, evidence = [], []
+    for edges, terms, tfs in counted(texts, index.vocabulary):
+        s, e = index.scores(edges, terms, tfs)
+        scores += s.tolist()
+        evidence += e
+    return scores, evidence
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence), one for each row of docs.
 
     Null and empty texts have no terms and get the score of labelled texts without terms. Only doc_id and text of
-    docs are read, and doc_id only to find labelled texts. Ties among neighbours go to the example of
-    smaller position; repeated rows get equal scores. Without labels every score is the smallest base rate.
+    docs are read, and doc_id only to find labelled texts; nothing is learned from labels of the held-out fold. Ties
+    among neighbours go to the example of smaller position; repeated rows get equal scores. Without labels every
+    score is the smallest base rate.
     """
-    made: list[DataFrame] = []
-    index, _ = learn(docs, labels, folds, held, per_class, most_terms, made)
-    found, sent = made[0], docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, held, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = sent.value, {}
         for batch in batches:
-            scores, evidence = [], []
-            for t, f in zip(batch.column("terms").to_pylist(), batch.column("tfs").to_pylist()):
-                key = tuple(t), tuple(f)
-                if key not in memo:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    memo[key] = index.score(*key)
-                s, e = memo[key]
-                scores.append(s)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
+            scores, evidence = _judge(sent.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
                                              names=["doc_id", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = found.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<bigint>")
+    out = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<bigint>")
     held_out = fold(F.col("doc_id"), folds) == held if folds else F.lit(False)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
     """The documents, with their columns, whose whole text isn't predicted to be toxic. Labels teach, but decide on no document.
 
-    Scores are made by row and not joined back by id, so null and repeated ids are no matter.
+    Null and empty texts are judged as labelled texts without terms are. Scores are made by row and not joined back by
+    id, so null and repeated ids are no matter; columns of any name pass; an empty table gives an empty one.
     """
-    model, terms = learn(docs, labels, folds=0, held=0, per_class=4000, most_terms=256)
-    sent = docs.sparkSession.sparkContext.broadcast((model, {t: k for k, t in enumerate(terms)}))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds=0, held=0, per_class=per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, number = sent.value
-        memo: dict[tuple, bool] = {}
         for batch in batches:
-            keep = []
-            for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
-                key = term_counts(t, number)
-                if key not in memo:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    memo[key] = index.score(*key)[0] < 0.5
-                keep.append(memo[key])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            scores, _ = _judge(sent.value, batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
+            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

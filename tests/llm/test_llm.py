@@ -351,29 +351,55 @@ def test_embedding_links(spark):
 # ---------------------------------------------------------------- 6
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(5)
-    rows = [(k, sorted(rng.choice(40, rng.integers(1, 8), replace=False).tolist()), None) for k in range(400)]
-    rows = [(k, t, rng.integers(1, 4, len(t)).tolist()) for k, t, _ in rows]
-    index = toxicity.Index.build(rows, {k: int(k % 3 == 0) for k, _, _ in rows}, rng.uniform(1, 5, 40), 0.1)
-    dense = {}
-    for k, t, f in rows:
-        v = np.zeros(40)
-        v[t] = index.weigh(tuple(t), tuple(f))[1]
-        dense[k] = v
-    for k, t, f in rows[:60]:
-        _, cos = index.nearest(tuple(t), tuple(f), 10)
-        want = sorted((float(dense[int(i)] @ dense[k]) for i in index.ids), reverse=True)[:10]
-        assert np.allclose(cos, want)
+def tox_terms(text):
+    """Words and their beginnings, with their numbers, in plain Python."""
+    out = {}
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
+        for t in [w, *(w[:n] for n in toxicity.BEGINNINGS if len(w) > n)]:
+            out[t] = out.get(t, 0) + 1
+    return out
 
 
-def test_toxicity_on_held_out(spark):
+def test_nearest_examples_are_exact():
+    rng = np.random.default_rng(5)
+    size = 300
+    idf = rng.uniform(0.1, 5, size)
+    chance = 1 / np.arange(1, size + 1)
+    rows = []
+    for k in range(700):
+        t = np.sort(rng.choice(size, rng.integers(1, 40), replace=False, p=chance / chance.sum()))
+        rows.append((k, t, rng.integers(1, 4, len(t))))
+    for dense in (1 << 23, 700 * 64, 0):  # all terms that occur often in the table, some, none
+        index = toxicity.Index.build(rows, {k: int(k % 3 == 0) for k, _, _ in rows}, np.arange(size, dtype=np.uint64), idf, 0.1, dense)
+        assert dense == 0 or index.dense.shape[1] > 0
+
+        def vector(t, f):
+            v = np.zeros(size)
+            v[t] = (1 + np.log(f)) * index.factor[t]
+            return v / np.sqrt(v @ v)
+
+        own = {k: vector(t, f) for k, t, f in rows}
+        many = np.stack([own[int(i)] for i in index.ids])
+        edges = np.cumsum([0, *(len(t) for _, t, _ in rows[:90])])
+        near, cos = index.nearest(edges, *(np.concatenate([r[c] for r in rows[:90]]) for c in (1, 2)), 10)
+        for k in range(90):
+            want = many @ own[k]
+            assert np.allclose(cos[k], np.sort(want)[::-1][:10], atol=1e-5)
+            assert np.allclose(want[near[k]], cos[k], atol=1e-5)
+
+
+def toxic_docs(n=600):
     rng, rows, labels = random.Random(6), [], []
-    for k in range(600):
+    for k in range(n):
         bad = k % 5 == 0
         rows.append((k, prose(rng, 40) + (" idiot moron" if bad else ""), "en", "s", 1))
         labels.append((k, 1, int(bad)))
-    rows += [(900, None, None, None, None), (901, "", "", "", 0)]
+    return rows, labels
+
+
+def test_toxicity_on_held_out(spark):
+    rows, labels = toxic_docs()
+    rows += [(900, None, None, None, None), (901, "", "", "", 0), (902, "word " * 100_000 + "idiot", "en", "s", 1)]
     d = spark.createDataFrame(rows, SCHEMA)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = toxicity.score(d, lab).collect()
@@ -382,9 +408,67 @@ def test_toxicity_on_held_out(spark):
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
-        assert r.predicted == truth.get(r.doc_id, 0)
-    assert toxicity.keep_clean(d, lab).count() == 482
-    assert toxicity.score(empty(spark), lab.where("false")).count() == 0
+        assert r.doc_id == 902 or r.predicted == truth.get(r.doc_id, 0)
+    wide = d.withColumnsRenamed({"lang": "score", "source": "terms"})
+    assert toxicity.keep_clean(d, lab).count() in (482, 483)
+    assert toxicity.keep_clean(wide, lab).columns == wide.columns
+    assert toxicity.score(empty(spark), lab.where("false")).count() == toxicity.keep_clean(empty(spark), lab).count() == 0
+    none = toxicity.score(d, lab.where("false")).select("score").distinct().collect()
+    assert [r.score for r in none] == [1e-4]
+
+
+def test_held_out_labels_teach_nothing(spark):
+    rows, labels = toxic_docs(200)
+    rows += [(7, "another text of the id seven", "en", "s", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    flipped = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, q, t in labels]
+    one, two = (sorted(map(tuple, toxicity.score(d.repartition(n), spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect())) for n, x in ((3, labels), (2, flipped)))
+    assert one == two
+
+
+def test_toxicity_against_brute_force(spark):
+    rows, labels = toxic_docs(240)
+    rows += [(500, rows[5][1], "en", "s", 1), (501, "idiots moronic unknownword", "en", "s", 1), (502, "", "", "", 0)]
+    d, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = {k: t for k, _, t in labels if zlib.crc32(str(k).encode()) % 5}
+    text = {r[0]: tox_terms(r[1]) for r in rows}
+    vocabulary = sorted({t for k in train for t in text[k]})
+    n, n1, n0 = len(train), sum(train.values()), len(train) - sum(train.values())
+    rate = n1 / n
+    idf = {t: math.log((len(rows) + 1) / (sum(t in v for v in text.values()) + 1)) + 0.1 for t in vocabulary}
+
+    def gain(t):
+        a, b = sum(train[k] for k in train if t in text[k]), sum(1 - train[k] for k in train if t in text[k])
+        r = (a + b) / n
+        g = sum(k * math.log(k / e) for k, e in ((a, n1 * r), (b, n0 * r), (n1 - a, n1 * (1 - r)), (n0 - b, n0 * (1 - r))) if k > 0)
+        return max(g - math.log(len(vocabulary)), 0) / (-n * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate)))
+
+    says = {t: gain(t) for t in vocabulary}
+    top = max(says.values()) or 1.0
+
+    def vector(k):
+        v = {t: (1 + math.log(f)) * idf[t] * (toxicity.PLAIN * top + says[t]) for t, f in text[k].items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors, weigh = {k: vector(k) for k in text}, {0: (1 - rate) / n0, 1: rate / n1}
+
+    def vote(k, others):
+        cos = sorted(((sum(x * vectors[o].get(t, 0.0) for t, x in vectors[k].items()), o) for o in others), reverse=True)[: toxicity.NEAREST]
+        w = [weigh[train[o]] / (1.1 - min(c, 1.0)) for c, o in cos if c > 0]
+        return sum(x * train[o] for x, (c, o) in zip(w, cos)) / sum(w) if w else None
+
+    got = {r.doc_id: r for r in toxicity.score(d, lab).collect()}
+    votes = {k: vote(k, train) for k in text if vectors[k]}
+    index = toxicity.learn(d, lab, 5, 0, 4000)
+    own = sorted((vote(k, [o for o in train if o != k]), train[k]) for k in train)
+    assert np.allclose(sorted(index.steps[0]), sorted(set(index.steps[0].tolist())))
+    assert {round(float(s), 5) for s in index.steps[0]} <= {round(v, 5) for v, _ in own}
+    for k, v in votes.items():
+        assert got[k].score == pytest.approx(float(np.interp(v, *index.steps)), abs=1e-4)
+        best = max(sum(x * vectors[o].get(t, 0.0) for t, x in vectors[k].items()) for o in train)
+        assert sum(x * vectors[got[k].evidence[0]].get(t, 0.0) for t, x in vectors[k].items()) == pytest.approx(best, abs=1e-5)
+    assert got[502].score == pytest.approx(rate)
 
 
 # ---------------------------------------------------------------- 7
