@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stage
+from .textblock import Block
 
 KINDS = ("assign", "access", "hex", "format")
 #: Fixed patterns; `least` characters in the group named, which is judged after matching.
@@ -26,8 +27,12 @@ PATTERNS = (
     (re.compile(rb"AKIA[A-Z0-9]+"), 0, 20),
     (re.compile(rb"[0-9a-f]{24,}"), 0, 24),
 )
-#: What may be a credential of a format not listed above.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates are runs of these characters, without dots at their ends, of so many characters; longer ones than LONG are walked one by one.
+_WITHIN_TOKEN = np.zeros(256, bool)
+_WITHIN_TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
+SHORTEST, LONG = 6, 64
+#: Bits by which a secret's likelihood exceeds an ordinary token's: over the whole token, and a character. The first is the odds against a token being a secret.
+ODDS, MARGIN = 40.0, 0.25
 CHUNK = 1 << 20
 
 
@@ -41,8 +46,11 @@ _OTHER, _END = len(_CLASSES), len(_CLASSES) + 1
 _WITHIN = [math.log2(len(c)) for c in _CLASSES] + [math.log2(256 - sum(map(len, _CLASSES)))]
 
 
+_CLASS = np.array([_CLASS_OF.get(b, _OTHER) for b in range(256)])
+
+
 def symbols(token: bytes) -> list[int]:
-    return [_CLASS_OF.get(b, _OTHER) for b in token]
+    return _CLASS[np.frombuffer(token, np.uint8)].tolist()
 
 
 class Automaton:
@@ -124,6 +132,8 @@ class Automaton:
                 bits = math.log2((self.count[q].get(s, 0) + 0.05) / (n + 0.05 * (_END + 1))) if n else -8.0
                 arcs.append((bits - (_WITHIN[s] if s < _END else 0), number.get(self.next[q].get(s, q), number[q])))
             self.arc.append(arcs)
+        self.bits = np.array([[b for b, _ in arcs] for arcs in self.arc])
+        self.to = np.array([[q for _, q in arcs] for arcs in self.arc])
 
     def loglik(self, token: bytes) -> float:
         at, bits = 0, 0.0
@@ -132,166 +142,175 @@ class Automaton:
             bits += b
         return (bits + self.arc[at][_END][0]) / max(1, len(token))
 
+    def logliks(self, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """loglik() of the tokens that begin at starts in an array of classes, all together, longest first; none longer than LONG."""
+        at, bits = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        for k in range(int(lengths[0]) if len(lengths) else 0):
+            n = int(np.searchsorted(-lengths, -k, "left"))  # those that have a character here
+            s = classes[starts[:n] + k]
+            bits[:n] += self.bits[at[:n], s]
+            at[:n] = self.to[at[:n], s]
+        return (bits + self.bits[at, _END]) / np.maximum(lengths, 1)
+
 
 class Formats:
-    """Automata by kind and one of ordinary tokens; is_secret() holds a token's bits against a learned bound."""
+    """Automata by kind and one of ordinary tokens. A token is a secret if a kind's automaton finds it likelier than that of ordinary
+    tokens by ODDS bits, and by half as many bits a character as all but a hundredth of the kind's own tokens, MARGIN at least.
+
+    Ordinary tokens come unlabelled: those found to be secrets are taken out, and the rest is learned again.
+    """
 
     def __init__(self, labelled: dict[str, list[bytes]], ordinary: list[bytes]):
         self.automata = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
-        self.ordinary = Automaton(ordinary) if ordinary else None
-        self.least = {}
-        for k, a in self.automata.items():
-            own = sorted(self._margin(a, t) for t in labelled[k])
-            self.least[k] = max(0.25, own[len(own) // 100])
+        for again in (True, False):
+            self.ordinary = Automaton(ordinary) if ordinary else None
+            own = {k: sorted(self._margin(a, t) for t in labelled[k]) for k, a in self.automata.items()}
+            self.least = {k: max(MARGIN, m[len(m) // 100] / 2) for k, m in own.items()}
+            if again:
+                ordinary = [t for t in ordinary if not self.is_secret(t)]
 
     def _margin(self, a: Automaton, token: bytes) -> float:
         return a.loglik(token) - (self.ordinary.loglik(token) if self.ordinary else -math.log2(64))
 
     def is_secret(self, token: bytes) -> bool:
-        has_digit, has_letter = any(48 <= b <= 57 for b in token), any(b > 57 and chr(b).isalpha() for b in token)
-        return has_digit and has_letter and any(self._margin(a, token) >= self.least[k] for k, a in self.automata.items())
+        return any((m := self._margin(a, token)) >= self.least[k] and m * len(token) >= ODDS for k, a in self.automata.items())
+
+    def are_secrets(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """is_secret() of many tokens in an array of bytes."""
+        out = np.zeros(len(starts), bool)
+        if not self.automata:
+            return out
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[k] = self.is_secret(data[starts[k] : starts[k] + lengths[k]].tobytes())
+        some = np.flatnonzero(lengths <= LONG)
+        some = some[np.argsort(-lengths[some], kind="stable")]
+        classes, a, n = _CLASS[data], starts[some], lengths[some]
+        plain = self.ordinary.logliks(classes, a, n) if self.ordinary else -math.log2(64)
+        for kind, automaton in self.automata.items():
+            margin = automaton.logliks(classes, a, n) - plain
+            out[some[(margin >= self.least[kind]) & (margin * n >= ODDS)]] = True
+        return out
 
 
 # ---------------------------------------------------------------- scan
 
 
-def find(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans (start, kind, end) and candidates (start, end) that touch none, in bytes."""
-    spans = []
-    for kind, (pattern, group, least) in enumerate(PATTERNS):
-        spans += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    spans.sort()
-    free = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if any(48 <= b <= 57 for b in token) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-            free.append((m.start(), m.end()))
-    return spans, free
-
-
-def _points(text: bytes, at: list[int]) -> dict[int, int]:
-    """Code points before each byte offset."""
-    out, last, n = {}, 0, 0
-    for x in sorted(set(at)):
-        n += sum((b & 0xC0) != 0x80 for b in text[last:x]) if x - last < 64 else len(text[last:x].decode("utf-8", "replace"))
-        last = x
-        out[x] = n
-    return out
-
-
-def _grouped(texts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
-    """Texts joined by line feeds, which no pattern crosses, with the start of each."""
+class Chunk:
+    """Texts joined by line feeds, which no pattern crosses: base spans (start, kind, end), and candidates that no base span covers."""
+
+    def __init__(self, texts: list[bytes]):
+        self.joined = b"\n".join(texts)
+        self.first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        spans = []
+        for kind, (pattern, group, least) in enumerate(PATTERNS):
+            spans += [(m.start(), kind, m.end()) for m in pattern.finditer(self.joined) if m.end(group) - m.start(group) >= least]
+        self.spans = sorted(spans)
+        self.data = np.frombuffer(self.joined, np.uint8)
+        self.block = Block(self.data, np.array([0, len(self.data)]), 0, 1, between=~_WITHIN_TOKEN)
+        starts, ends = self.block.starts, self.block.ends
+        if len(starts):
+            at, solid = np.arange(len(self.data)), self.data != ord(".")
+            after = np.maximum.accumulate(np.where(solid, at, -1))
+            before = np.minimum.accumulate(np.where(solid, at, len(at))[::-1])[::-1]
+            starts, ends = before[starts], after[ends - 1] + 1
+        long = ends - starts >= SHORTEST
+        starts, ends = starts[long], ends[long]
+        cover = _merged([(s, e) for s, _, e in self.spans])
+        if cover:
+            low, high = np.array(cover).T
+            k = np.searchsorted(low, starts, "right") - 1
+            free = (k < 0) | (ends > high[np.maximum(k, 0)])
+            starts, ends = starts[free], ends[free]
+        self.starts, self.lengths = starts, ends - starts
+        self.hash = self.block.hashes(self.starts, self.lengths)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def found(self, formats: Formats) -> list[tuple[int, int, int]]:
+        """Base spans and the candidates that are secrets, sorted. Equal tokens are scored once."""
+        _, one, every = np.unique(self.hash, return_index=True, return_inverse=True)
+        hit = formats.are_secrets(self.data, self.starts[one], self.lengths[one])[every] if len(one) else np.zeros(0, bool)
+        return sorted(self.spans + [(s, 3, s + n) for s, n in zip(self.starts[hit].tolist(), self.lengths[hit].tolist())])
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, Chunk]]:
     lo = 0
     while lo < len(texts):
-        hi, size, starts = lo, 0, []
+        hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
-            starts.append(size)
-            size += len(texts[hi]) + 1
+            size += len(texts[hi])
             hi += 1
-        yield lo, b"\n".join(texts[lo:hi]), starts
+        yield lo, Chunk(texts[lo:hi])
         lo = hi
 
 
-_FOUND = "spans array<struct<start:int,kind:int,end:int,token:binary>>, free array<struct<start:int,end:int,token:binary>>"
-_FOUND_ARROW = [
-    pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("token", pa.binary())])),
-    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.binary())])),
-]
-
-
-def _scan(texts: list[bytes]) -> tuple[list, list]:
-    """Per text, its base spans and free candidates in code points."""
-    spans_of: list[list[dict]] = [[] for _ in texts]
-    free_of: list[list[dict]] = [[] for _ in texts]
-    for lo, joined, starts in _grouped(texts):
-        spans, free = find(joined)
-        at = np.array(starts)
-        hits: dict[int, tuple[list, list]] = {}
-        for x in spans:
-            hits.setdefault(int(np.searchsorted(at, x[0], "right")) - 1, ([], []))[0].append(x)
-        for x in free:
-            hits.setdefault(int(np.searchsorted(at, x[0], "right")) - 1, ([], []))[1].append(x)
-        for k, (mine, loose) in hits.items():
-            o, text = starts[k], texts[lo + k]
-            p = _points(text, [v - o for s, _, e in mine for v in (s, e)] + [v - o for x in loose for v in x])
-            for s, kind, e in mine:
-                token = joined[s:e]
-                if kind == 0:
-                    token = PATTERNS[0][0].match(token).group(1)
-                spans_of[lo + k].append({"start": p[s - o], "kind": kind, "end": p[e - o], "token": token})
-            free_of[lo + k] += [{"start": p[s - o], "end": p[e - o], "token": joined[s:e]} for s, e in loose]
-    return spans_of, free_of
-
-
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns named in keep, with base spans and candidates of each whole text (null: none)."""
-    what = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema), _FOUND])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).fill_null(b"").to_pylist()
-            found = [pa.array(x, t) for x, t in zip(_scan(texts), _FOUND_ARROW)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*keep, "spans", "free"])
-
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("binary").alias("__text")).mapInArrow(run, what)
-
-
-def learn(found: DataFrame, per_kind: int = 1000, ordinary: int = 2000) -> Formats:
+def learn(docs: DataFrame, labelled: dict[str, list[bytes]] | None = None, per_kind: int = 1000, ordinary: int = 20_000) -> Formats:
     """Automata from up to per_kind distinct labelled credentials of each kind, those of smallest hash.
 
-    Labels come from the base patterns, whose hits are credentials by form. `ordinary` tokens are candidates.
-    The bounds limit what a classifier is fitted on; every candidate is scored.
+    Labels are given, or come from the base patterns, whose hits are credentials by form. `ordinary` distinct tokens,
+    those of smallest hash among all candidates of all texts, are the background. The bounds limit what a classifier is
+    fitted on; every candidate is scored. Each task passes on no more than the bounds.
     """
-    labelled: dict[str, list[bytes]] = {}
-    tokens = found.select(F.explode("spans").alias("s")).select("s.kind", "s.token").distinct()
-    for kind in range(3):
-        rows = tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(per_kind).select("token").collect()
-        labelled[KINDS[kind]] = [bytes(r.token) for r in rows]
-    free = found.select(F.explode("free").alias("s")).select("s.token").distinct().orderBy(F.xxhash64("token"), "token").limit(ordinary)
-    return Formats(labelled, [bytes(r.token) for r in free.collect()])
-
 
-def judged(found: DataFrame, formats: Formats, keep: list[str]) -> DataFrame:
-    """All spans of each row: the base ones, and candidates that the automata take for secrets."""
-    what = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*[f"`{c}`" for c in keep]).schema),
-                      "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, cuts array<struct<start:int,end:int>>"])
-    sent = found.sparkSession.sparkContext.broadcast(formats)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[int, bytes]] = [{} for _ in KINDS]
 
-    def text_of(spans: list[tuple[int, int, int]]) -> str:
-        return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        def put(kind: int, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunk: Chunk) -> None:
+            most, mine = (ordinary if kind == 3 else per_kind), held[kind]
+            h, at = np.unique(h, return_index=True)
+            for x, k in zip(h[:most].tolist(), at[:most].tolist()):
+                mine.setdefault(x, chunk.joined[starts[k] : starts[k] + lengths[k]])
+            for x in sorted(mine)[most:]:
+                del mine[x]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats, memo = sent.value, {}
         for batch in batches:
-            rows = []
-            for spans, free in zip(batch.column("spans").to_pylist(), batch.column("free").to_pylist()):
-                base, more = [(x["start"], x["kind"], x["end"]) for x in spans], []
-                for x in free:
-                    if (t := x["token"]) not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[t] = formats.is_secret(t)
-                    if memo[t]:
-                        more.append((x["start"], 3, x["end"]))
-                n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-                every = sorted(base + more)
-                rows.append((*n, hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(every), [{"start": s, "end": e} for s, _, e in every]))
-            cols = list(zip(*rows)) or [()] * 6
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types))],
-                                             names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "cuts"])
-
-    return found.mapInArrow(run, what)
-
-
-def find_secrets(docs: DataFrame) -> DataFrame:
+            for _, c in _chunks(batch.column(0).fill_null(b"").to_pylist()):
+                put(3, c.hash, c.starts, c.lengths, c)
+                for kind, (pattern, group, _) in enumerate(PATTERNS):
+                    at = [pattern.match(c.joined, s).span(group) for s, k, _ in c.spans if k == kind]
+                    if at:
+                        starts, ends = np.array(at).T
+                        put(kind, c.block.hashes(starts, ends - starts), starts, ends - starts, c)
+        rows = [(k, x - (1 << 63), t) for k, mine in enumerate(held) for x, t in mine.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "token"])
+
+    tokens = stage(docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind int, h long, token binary").distinct(), "tokens")
+    taken = [[bytes(r.token) for r in tokens.where(F.col("kind") == k).orderBy("h", "token").limit(ordinary if k == 3 else per_kind).select("token").collect()] for k in range(4)]
+    return Formats(labelled if labelled is not None else dict(zip(KINDS, taken[:3])), taken[3])
+
+
+def find_secrets(docs: DataFrame, labelled: dict[str, list[bytes]] | None = None) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one for each row of docs.
 
     Null and empty texts have no spans. Offsets are code points. Other columns of docs are ignored; ties and
-    repeated rows get equal results; without credentials to learn from only base spans are returned.
+    repeated rows get equal results; an empty table gives an empty one; without credentials to learn from only base
+    spans are returned. An added span may reach over base ones.
     """
-    found = stage(scan(docs, ["doc_id"]), "secrets")
-    return judged(found, learn(found), ["doc_id"]).drop("cuts")
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labelled))
+
+    def text_of(spans: list[tuple[int, int, int]]) -> str:
+        return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
+            for lo, c in _chunks(batch.column(1).fill_null(b"").to_pylist()):
+                found = c.found(sent.value)
+                if found:
+                    points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])  # code points before each byte
+                    s, kind, e = np.array(found).T
+                    text = c.text_of(s)
+                    base = points[c.first[text]]
+                    for t, *x in zip(text.tolist(), (points[s] - base).tolist(), kind.tolist(), (points[e] - base).tolist()):
+                        spans[lo + t].append(tuple(x))
+            bases = [[x for x in row if x[1] < 3] for row in spans]
+            cols = [pa.array([sum(k == kind for _, k, _ in row) for row in bases], pa.int64()) for kind in range(3)]
+            cols += [pa.array([hashlib.sha256(text_of(row).encode()).hexdigest() for row in bases], pa.string()), pa.array([text_of(row) for row in spans], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -304,24 +323,25 @@ def _merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", labelled: dict[str, list[bytes]] | None = None) -> DataFrame:
     """The documents with every secret replaced by a mark; n_chars, where there is one, follows the text.
 
-    Texts without secrets, null and empty ones stay as they are. No document is dropped.
+    Texts without secrets, null and empty ones stay as they are. No document is dropped, repeated rows get equal texts,
+    columns of any name pass, and an empty table gives an empty one.
     """
-    found = stage(scan(docs, []), "secrets")
-    formats = docs.sparkSession.sparkContext.broadcast(learn(found))
+    formats = docs.sparkSession.sparkContext.broadcast(learn(docs, labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = formats.value
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            texts = batch.column(k).to_pylist()
-            for i, (spans, free) in enumerate(zip(*_scan([(t or "").encode() for t in texts]))):
-                cuts = [(x["start"], x["end"]) for x in spans] + [(x["start"], x["end"]) for x in free if known.is_secret(x["token"])]
-                for s, e in reversed(_merged(cuts)):
-                    texts[i] = texts[i][:s] + mark + texts[i][e:]
-            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+            texts = batch.column(k).cast(pa.binary()).to_pylist()
+            for lo, c in _chunks([t or b"" for t in texts]):
+                cuts = _merged([(s, e) for s, _, e in c.found(formats.value)])
+                owner = c.text_of(np.array([s for s, _ in cuts], np.int64)).tolist()
+                for t, (s, e) in reversed(list(zip(owner, cuts))):
+                    s, e = s - int(c.first[t]), e - int(c.first[t])
+                    texts[lo + t] = texts[lo + t][:s] + mark.encode() + texts[lo + t][e:]
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.binary()).cast(batch.schema.field(k).type))
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -50,6 +50,7 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, between: np.ndarray = _SPACE):
         self.lo, self.hi, self.offsets = lo, hi, offsets - offsets[0]
+        self.sums_of: np.ndarray | None = None
         self.data = _LOWER[data] if lower else data
         word = ~between[self.data]
         before, after = np.empty(len(word), bool), np.empty(len(word), bool)
@@ -67,18 +68,22 @@ class Block:
         np.cumsum(mask, out=total[1:])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes, by their bytes alone."""
+        if self.sums_of is None:
+            up, self.down = _power_table(len(self.data) + 1)
+            self.sums_of = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_bytes_table()[self.data] * up[: len(self.data)], out=self.sums_of[1:])
+        return mixed((self.sums_of[starts + lengths] - self.sums_of[starts]) * self.down[starts] + lengths.astype(np.uint64))
+
     def word_hashes(self) -> np.ndarray:
-        return self.with_beginnings(())[0]
+        return self.hashes(self.starts, self.ends - self.starts)
 
     def with_beginnings(self, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words, then of the beginnings of so many bytes of longer words, and the word that each is of."""
-        up, down = _power_table(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_bytes_table()[self.data] * up[: len(self.data)], out=total[1:])
         length, words = self.ends - self.starts, np.arange(len(self.starts))
         parts = [(words, length), *((w, np.full(len(w), n)) for n in sizes for w in [np.flatnonzero(length > n)])]
-        h = [mixed((total[self.starts[w] + n] - total[self.starts[w]]) * down[self.starts[w]] + n.astype(np.uint64)) for w, n in parts]
-        return np.concatenate(h), np.concatenate([w for w, _ in parts])
+        return np.concatenate([self.hashes(self.starts[w], n) for w, n in parts]), np.concatenate([w for w, _ in parts])
 
     def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words in a row inside one text, and the index of each window's first word."""

@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -617,11 +618,65 @@ def test_secrets(spark):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for _, k, _ in spans) for x in range(3)]
         assert set(base.split(",")) <= set(got[i].spans.split(","))
+        added = [x for x in got[i].spans.split(",") if x.startswith("format")]
+        assert not added or i < 90
     clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
     assert clean[90] is None and clean[91] == "" and clean[94] == rows[-1][1]
     assert all(not re.search(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}", clean[k]) and clean[k].startswith("é ") for k in range(40))
 
 
+def test_formats_that_no_pattern_knows(spark):
+    """Bare credentials of the formats given are found as a whole, whether or not a base span is part of them; prose is not."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("aeioubcdlnrst") for _ in range(rng.randint(3, 12))) for _ in range(n))
+    dates = lambda n: " ".join(f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = {"pat": lambda: "ghp_" + "".join(rng.choice(alnum) for _ in range(36)), "dotted": lambda: ".".join("".join(rng.choice(alnum) for _ in range(n)) for n in (24, 6, 27))}
+    given = {k: [make().encode() for _ in range(200)] for k, make in kinds.items()}
+    rows = []
+    for k in range(60):
+        secret = list(kinds.values())[k % 2]()
+        if k % 10 == 0:
+            secret = secret[:6] + "".join(rng.choice("0123456789abcdef") for _ in range(24)) + secret[30:]  # holds a base span
+        rows.append((k, f"é{words(60)} {secret}. {words(10).upper()} see http://x.org/{k}/a-b.html {dates(3)}", secret))
+    rows += [(100 + k, f"{words(300).title()} v1.2.3 {dates(4)} a.b.c", "") for k in range(20)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("format")] for r in secrets.find_secrets(d, given).collect()}
+    caught = sum(got[i] == [f"format:{t.index(x)}:{t.index(x) + len(x)}"] for i, t, x in rows if x)
+    assert caught >= 57 and not any(got[i] for i, _, x in rows if not x)
+    clean = {r.doc_id: r.text for r in secrets.redact(d, labelled=given).collect()}
+    assert sum(clean[i] == t.replace(x, "[SECRET]") for i, t, x in rows if x) >= 57
+    assert all(clean[i] == t for i, t, x in rows if not x)
+
+
+def test_scores_of_many_tokens_are_those_of_one():
+    rng = random.Random(9)
+    keys = [bytes(rng.choice(b"0123456789abcdefXYZ") for _ in range(rng.randint(6, 40))) for _ in range(300)]
+    f = secrets.Formats({"k": keys[:100]}, [p.encode() for p in prose(rng, 500).split()])
+    many = [bytes(rng.choice(b"abcXYZ019._-") for _ in range(rng.randint(6, 200))) for _ in range(300)] + keys
+    data = np.frombuffer(b" ".join(many), np.uint8)
+    lengths = np.array([len(t) for t in many])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    assert f.are_secrets(data, starts, lengths).tolist() == [f.is_secret(t) for t in many]
+
+
+def test_secrets_in_hard_tables(spark):
+    rng = random.Random(10)
+    long = " ".join(f"password=k{k:06d}x{k * 7919 % 100_003:06d}" for k in range(20_000))  # many spans and candidates in one text
+    began = time.time()
+    c = secrets.Chunk([long.encode(), b"\n.\n", b"."])
+    assert len(c.spans) == 20_000 and not len(c.starts) and time.time() - began < 10
+    assert secrets.find_secrets(empty(spark)).count() == secrets.redact(empty(spark)).count() == 0
+    rows = [(1, "token=abcdef12", "a"), (1, "token=abcdef12", "a"), (2, prose(rng, 5), None), (None, None, "b"), (3, "x" * 500_000 + " AKIA" + "Q7" * 10, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_chars", F.length("text"))
+    out = secrets.find_secrets(d).collect()
+    assert len(out) == 5 and len({(r.spans, r.n_assign) for r in out if r.doc_id == 1}) == 1
+    clean = secrets.redact(d)
+    assert clean.columns == d.columns
+    assert sorted((r.text or "")[-20:] for r in clean.collect()) == sorted(["[SECRET]", "[SECRET]", rows[2][1][-20:], "", ("x" * 20 + " [SECRET]")[-20:]])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.collect())
+
+
 def test_automata_tell_formats_from_words():
     rng = random.Random(5)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)).encode() for _ in range(300)]
