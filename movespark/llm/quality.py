@@ -22,7 +22,7 @@ WINDOW = 8
 
 
 class Measures:
-    """Figures of a block's texts, each made when first asked for. `only`: the texts that are asked for."""
+    """Figures of a block's texts, each made when first asked for."""
 
     def __init__(self, block: Block):
         self.block, self.made = block, {}
@@ -106,57 +106,73 @@ def _take(block: Block, keep: np.ndarray) -> Block:
     return Block(np.concatenate(parts) if parts else np.empty(0, np.uint8), offsets, 0, len(keep))
 
 
-def run_rules(block: Block, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Per text, the position of the first rule that rejects it, or -1. A rejected text goes to no later rule."""
-    verdict, alive, measures = np.full(len(block.n_words), -1), np.arange(len(block.n_words)), Measures(block)
-    for k, rule in enumerate(rules):
-        bad = rule.fails(measures)
-        verdict[alive[bad]] = k
-        alive = alive[~bad]
-        if not len(alive):
-            break
-        if bad.mean() > 0.05 and k + 1 < len(rules):
-            measures = Measures(_take(block, alive))
-        elif bad.any():
-            keep = ~bad
-            measures.made = {n: v[..., keep] for n, v in measures.made.items()}
-            measures = _Part(measures, block, alive)
-        # else the same texts go on, with what is known of them
-    return verdict
+class Part:
+    """Measures of the texts that are left: read where they are known for all, made for those alone where few are left."""
 
+    def __init__(self, whole: Measures, alive: np.ndarray, own: dict[str, np.ndarray] | None = None):
+        self.whole, self.alive, self.own, self.few = whole, alive, own or {}, None
 
-class _Part(Measures):
-    """Measures of the texts that are left when few have gone: made for the block, read for those."""
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name in self.own:
+            return self.own[name]
+        if name in self.whole.made or 2 * len(self.alive) > len(self.whole.block.n_words):
+            return self.whole[name][..., self.alive]
+        if self.few is None:
+            self.few = Measures(_take(self.whole.block, self.alive))
+        self.own[name] = self.few[name]
+        return self.own[name]
 
-    def __init__(self, known: Measures, block: Block, alive: np.ndarray):
-        super().__init__(block)
-        self.made, self.alive = known.made, alive
+    def left(self, keep: np.ndarray) -> Part:
+        return Part(self.whole, self.alive[keep], {n: v[..., keep] for n, v in self.own.items()})
 
-    def __getitem__(self, name: str) -> np.ndarray:
-        if name not in self.made:
-            self.made[name] = Measures(self.block)[name][..., self.alive]
-        return self.made[name]
+
+def run_rules(measures: Measures, rules: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, the position of the first rule that rejects it, or -1, and how many rules judged it.
+
+    A rejected text goes to no later rule. What is measured already is not measured again.
+    """
+    n = len(measures.block.n_words)
+    verdict, tried, part = np.full(n, -1), np.zeros(n, np.int64), Part(measures, np.arange(n))
+    for k, rule in enumerate(rules):
+        if not len(part.alive):
+            break
+        tried[part.alive] += 1
+        bad = rule.fails(part)
+        if bad.any():
+            verdict[part.alive[bad]] = k
+            part = part.left(~bad)
+    return verdict, tried
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 1000) -> tuple[Rule, ...]:
-    """The rules in the order of rejection per second, each timed alone on up to `sample` hash-chosen texts.
+    """The rules in the order of rejection per second, each timed alone on about `sample` texts drawn from the whole table.
 
-    The verdict of a cascade doesn't depend on the order; only its cost does. An empty sample keeps the order given.
+    Rules are timed where the texts are; only sums come to the driver. The verdict of a cascade doesn't depend on the
+    order; only its cost does. An empty table keeps the order given.
     """
-    # take() reads as few partitions as it needs; a limit inside a plan would gather from all of them
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select(F.col("text").cast("binary")).take(sample)
-    found = list(blocks(pa.array([r[0] for r in rows], pa.binary())))
+    share = min(1.0, sample / max(1, docs.count()))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, len(rules))), 0
+        for batch in batches:
+            n += batch.num_rows
+            for b in blocks(batch.column(0)):
+                for k, rule in enumerate(rules):
+                    began = time.thread_time()
+                    total[1, k] += int(np.count_nonzero(rule.fails(Measures(b))))
+                    total[0, k] += time.thread_time() - began
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules))), pa.array(total[0]), pa.array(total[1]), pa.array([n] * len(rules))], names=["k", "cost", "bad", "n"])
+
+    rows = docs.select(F.col("text").cast("binary")).where(F.rand(11) < share).mapInArrow(measure, "k long, cost double, bad double, n long")
+    found = {r.k: r for r in rows.groupBy("k").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()}
     if not found:
         return rules
-    measured = []
-    for rule in rules:
-        began = time.thread_time()
-        bad = sum(int(rule.fails(Measures(b)).sum()) for b in found)
-        measured.append(Rule(rule.name, rule.fails, max(time.thread_time() - began, 1e-6), bad / len(rows)))
+    measured = [Rule(r.name, r.fails, max(found[k].cost, 1e-6), found[k].bad / found[k].n) for k, r in enumerate(rules)]
     return tuple(sorted(measured, key=lambda r: -r.rejects / r.cost))
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string, rules_tried long"
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, figures: bool = True) -> DataFrame:
@@ -164,8 +180,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, figures: bool
 
     Null and empty texts have no words and fail the first base rule. A document is judged by its whole text
     alone, so ties and repeated rows get equal verdicts; an empty table gives an empty table. Columns of docs
-    that bear the name of a figure are replaced. figures=False skips what only the figures need and leaves
-    them null: then a text that a rule rejects costs no more.
+    that bear the name of a figure are replaced. Figures are made once, and rules read them; what only later rules need is
+    made for the texts that are left. figures=False leaves figures null: then a text that a rule rejects costs no more.
+    rules_tried tells how many rules judged a text.
     """
     rules = plan(docs) if rules is None else rules
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -176,15 +193,16 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, figures: bool
         labels = np.array([r.name for r in rules] + [None], object)
         for batch in batches:
             for b in blocks(batch.column(batch.num_columns - 1)):
-                m, verdict = Measures(b), run_rules(b, rules)
+                m = Measures(b)
                 if figures:
                     cols = [m[n].astype(np.int64) for n in names[:5]]
                     base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-                else:
+                verdict, tried = run_rules(m, rules)
+                if not figures:
                     cols = [b.n_words.astype(np.int64)] + [pa.nulls(len(verdict), pa.int64())] * 4
                     base = np.isin(labels[verdict], ["few_words", "repeated_words"])
                 out = [pa.array(c) if isinstance(c, np.ndarray) else c for c in cols]
-                out += [pa.array(base), pa.array(verdict < 0), pa.array(labels[verdict].tolist(), pa.string())]
+                out += [pa.array(base), pa.array(verdict < 0), pa.array(labels[verdict].tolist(), pa.string()), pa.array(tried)]
                 part = batch.slice(b.lo, b.hi - b.lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], names=[*keep, *names])
 
@@ -192,12 +210,15 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, figures: bool
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with their columns."""
+    """The documents that no rule rejects, with their columns, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives an empty one.
+    """
     rules = plan(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [run_rules(b, rules) < 0 for b in blocks(batch.column(batch.schema.get_field_index("text")))]
+            good = [run_rules(Measures(b), rules)[0] < 0 for b in blocks(batch.column(batch.schema.get_field_index("text")))]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
@@ -206,4 +227,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # which rule is first depends on the order that timing finds
-    return judge(documents(spark, sf_dir).select("doc_id", "text")).drop("rejected_by")
+    return judge(documents(spark, sf_dir).select("doc_id", "text")).drop("rejected_by", "rules_tried")
