@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations, in DataFrame functions alone.
 
-Numbers and dates are found by pattern and validated (check digits, ranges, calendar). Their digits are permuted by an
-alternating Feistel network with a keyed hash as its round function, within the format: a card number stays
+Numbers, dates and mail addresses are found by pattern and validated (check digits, ranges, calendar). Their digits, and the
+letters of addresses, are permuted by an alternating Feistel network with a keyed hash as its round function, within the format: a card number stays
 a card number with a right check digit, a date a date. Equal values get equal pseudonyms in every document, and
 distinct ones of a format distinct pseudonyms. A row is changed where it stands; nothing is shuffled.
 """
@@ -20,9 +20,9 @@ from .common import documents
 KEY, ROUNDS = "pseudonyms-1", 8
 
 
-def _round(key: str, tweak: str, half: Column, i: Column) -> Column:
+def _round(key: str, tweak: str | Column, half: Column, i: Column) -> Column:
     """A non-negative keyed pseudo-random number."""
-    hashed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), half.cast("string")), 256)
+    hashed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, i.cast("string"), half.cast("string")), 256)
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
@@ -128,18 +128,71 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(ok, F.concat_ws("-", _pad(new, 3), _pad(F.pmod(F.floor(x / 9999), F.lit(99)) + 1, 2), _pad(x % 9999 + 1, 4)))
 
 
+#: Letters and digits of a local part that are permuted together: their number stays below 2**63.
+_TOGETHER = 12
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _radix(c: Column) -> Column:
+    return F.when(c.between("0", "9"), F.lit(10)).otherwise(F.lit(26)).cast("long")
+
+
+def _number(cs: Column) -> Column:
+    """Lower-case letters and digits as one number, each place with its own radix."""
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 97)
+    return F.aggregate(cs, F.lit(0).cast("long"), lambda n, c: n * _radix(c) + value(c))
+
+
+def _numbers(cs: Column) -> Column:
+    """How many numbers such places make."""
+    return F.aggregate(cs, F.lit(1).cast("long"), lambda n, c: n * _radix(c))
+
+
+def _spelled(x: Column, cs: Column) -> Column:
+    """The number in letters and digits, at the places of cs."""
+    def put(s: Column, c: Column) -> Column:
+        d = F.pmod(s["n"], _radix(c))
+        sign = F.when(c.between("0", "9"), d.cast("string")).otherwise(F.substr(F.lit(_LETTERS), d.cast("int") + 1, F.lit(1)))
+        return F.struct(F.floor((s["n"] - d) / _radix(c)).cast("long").alias("n"), F.concat(sign, s["out"]).alias("out"))
+
+    return F.aggregate(F.reverse(cs), F.struct(x.alias("n"), F.lit("").alias("out")), put)["out"]
+
+
 def _email(m: Column, key: str) -> Column:
-    """The number that ends a local part is permuted among numbers of its length, its letters are replaced by keyed ones."""
+    """The local part's letters and digits are permuted among those of its form (where it has letters, digits and signs) and domain.
+
+    Twelve at a time are one number, permuted by a network that is keyed by form, domain and what came before. Case stays
+    where it is and makes no difference: equal addresses get equal pseudonyms.
+    """
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    hashed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    pool = F.concat(hashed, F.sha2(hashed, 256))
+    signs = F.filter(F.split(F.lower(local), ""), lambda c: c.rlike("^[a-z0-9]$"))
+    form = F.concat(F.regexp_replace(F.regexp_replace(F.lower(local), "[a-z]", "a"), "[0-9]", "0"), F.lit("@"), F.lower(domain))
+
+    def part(done: Column, k: Column) -> Column:
+        cs = F.slice(signs, k * _TOGETHER + 1, F.lit(_TOGETHER))
+        half = F.floor(F.size(cs) / 2).cast("int")
+        left, right = F.slice(cs, F.lit(1), half), F.slice(cs, half + 1, F.lit(_TOGETHER))
+        tweak = F.concat_ws("|", F.lit("email"), form, done)
+
+        def step(s: Column, i: Column) -> Column:
+            even = i % 2 == 0
+            a = F.when(even, F.pmod(s["a"] + _round(key, tweak, s["b"], i), _numbers(left))).otherwise(s["a"])
+            b = F.when(even, s["b"]).otherwise(F.pmod(s["b"] + _round(key, tweak, s["a"], i), _numbers(right)))
+            return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+        new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(_number(left).alias("a"), _number(right).alias("b")), step)
+        return F.concat(done, _spelled(new["a"], left), _spelled(new["b"], right))
+
+    n = F.size(signs)
+    out = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / _TOGETHER).cast("int")), F.lit(""), part)
+    state = F.struct(F.lit(1).alias("k"), F.lit("").alias("out"))
 
-    def one(c: Column, i: Column) -> Column:
-        r = F.conv(F.substr(pool, F.pmod(i, F.lit(63)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), r % 26 + 1, F.lit(1))
-        return F.when(F.rlike(c, F.lit("[A-Za-z]")), letter).when(F.rlike(c, F.lit("[0-9]")), (r % 10).cast("string")).otherwise(c)
+    def put(s: Column, c: Column) -> Column:
+        new = F.substr(out, s["k"], F.lit(1))
+        sign = F.when(c.rlike("^[A-Z]$"), F.upper(new)).when(c.rlike("^[a-z0-9]$"), new).otherwise(c)
+        return F.struct((s["k"] + c.rlike("^[A-Za-z0-9]$").cast("int")).alias("k"), F.concat(s["out"], sign).alias("out"))
 
-    return F.concat(F.array_join(F.transform(F.split(local, ""), one), ""), F.lit("@"), domain)
+    return F.when(n > 0, F.concat(F.aggregate(F.split(local, ""), state, put)["out"], F.lit("@"), domain))
 
 
 @dataclass(frozen=True)
