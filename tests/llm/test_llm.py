@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import datetime
 import hashlib
 import itertools
 import json
@@ -312,6 +313,132 @@ def test_phones_of_all_areas_and_countries(spark):
     assert not any(re.search(r"555-2826|556 2826", r.text) for r in got.values())
 
 
+def plain_round(tweak, half, i):
+    return int(hashlib.sha256(f"{pii.KEY}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def plain_feistel(a, b, left, right, tweak):
+    for i in range(pii.ROUNDS):
+        a, b = ((a + plain_round(tweak, b, i)) % left, b) if i % 2 == 0 else (a, (b + plain_round(tweak, a, i)) % right)
+    return a, b
+
+
+def plain_luhn(d):
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d))))
+
+
+def plain_pseudonym(kind, m):
+    """A value's pseudonym in plain Python; None if it isn't valid."""
+    put = lambda digits: (it := iter(digits)) and "".join(next(it) if c in "0123456789" else c for c in m)
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        if plain_luhn(d) % 10:
+            return None
+        a, b = plain_feistel(*divmod(int(d[1:15]), 10**7), 10**7, 10**7, "card")
+        body = d[0] + f"{a * 10**7 + b:014d}"
+        return put(body + str(-plain_luhn(body + "0") % 10))
+    if kind == "phone":
+        code, area, mid, last = d[:-10], d[-10:-7], d[-7:-4], d[-4:]
+        a, b = plain_feistel(int(area), int(last), 1000, 10_000, "phone")
+        return put(f"{code}{a:03d}{(int(mid) + plain_round('phone-middle', a * 10_000 + b, 0)) % 1000:03d}{b:04d}")
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        x = (((area - (2 if area > 666 else 1)) * 99) + group - 1) * 9999 + serial - 1
+        a, b = plain_feistel(*divmod(x, 9999), 898 * 99, 9999, "ssn")
+        area = a // 99 + 1
+        return f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "ip":
+        p = [int(x) for x in m.split(".")]
+        if max(p) > 255:
+            return None
+        a, b = plain_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65_536, 65_536, "ip")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if kind == "email":
+        local, domain = m.split("@")
+        signs, form = re.findall("[a-z0-9]", local.lower()), re.sub("[0-9]", "0", re.sub("[a-z]", "a", local.lower())) + "@" + domain.lower()
+        if not signs:
+            return None
+        done = ""
+        for lo in range(0, len(signs), 12):
+            cs = signs[lo : lo + 12]
+            halves = cs[: len(cs) // 2], cs[len(cs) // 2 :]
+            radix = [[10 if c.isdigit() else 26 for c in h] for h in halves]
+            num = [0, 0]
+            for k, h in enumerate(halves):
+                for c, r in zip(h, radix[k]):
+                    num[k] = num[k] * r + (int(c) if c.isdigit() else ord(c) - 97)
+            num = plain_feistel(*num, *(math.prod(r) for r in radix), f"email|{form}|{done}")
+            more = ""
+            for n, r in reversed(list(zip(num, radix))):
+                for x in reversed(r):
+                    n, y = divmod(n, x)
+                    more = (str(y) if x == 10 else chr(97 + y)) + more
+            done += more
+        it = iter(done)
+        return "".join((x.upper() if c.isupper() else x) if re.match("[A-Za-z0-9]", c) and (x := next(it)) else c for c in local) + "@" + domain
+    order, sep = kind[5:], re.sub("[0-9]", "", m)[0]
+    part = dict(zip(order, m.split(sep)))
+    try:
+        n = (datetime.date(int(part["y"]), int(part["m"]), int(part["d"])) - datetime.date(1900, 1, 1)).days
+    except ValueError:
+        return None
+    if not 0 <= n < 11 * 6641:
+        return None
+    a, b = plain_feistel(*divmod(n, 6641), 11, 6641, "date")
+    new = datetime.date(1900, 1, 1) + datetime.timedelta(a * 6641 + b)
+    return sep.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order)
+
+
+def test_pseudonyms_against_plain_python(spark, docs):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = (
+        lambda: f"{rng.choice(['john.smith', 'A', 'Mary-Ann_77', 'x' * 40 + digits(9), digits(3), '._'])}{digits(1)}@Mail.example.org",
+        lambda: "4" + (d := digits(14)) + str(-plain_luhn("4" + d + "0") % 10),
+        lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+        lambda: f"+{rng.randint(1, 999)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: f"{rng.randint(1890, 2110)}-{rng.randint(0, 13):02d}-{rng.randint(0, 31):02d}",
+        lambda: f"{rng.randint(0, 31):02d}.{rng.randint(0, 13):02d}.{rng.randint(1890, 2110)}",
+        lambda: f"{rng.randint(0, 13):02d}/{rng.randint(0, 31):02d}/{rng.randint(1890, 2110)}",
+    )
+    rows = [(k, " ".join(x for _ in range(6) for x in (prose(rng, 3), rng.choice(make)()))) for k in range(150)]
+    rows += [(k, t) for k, t in rows[:5]] + [(900, None), (901, ""), (902, "x " * 200_000 + "1.2.3.4"), (None, "a@b.co and A@b.co and b@b.co")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_email", F.lit("clash"))
+    out = pii.pseudonymise(d)
+    assert out.columns[:3] == ["doc_id", "text", "n_email"] and pii.pseudonymise(d.where("false")).count() == 0
+    want = []
+    for k, text in rows:
+        n = {}
+        for kind in pii.KINDS:
+            def swap(m, kind=kind):
+                new = plain_pseudonym(kind.name, m[0])
+                n[kind.name] = n.get(kind.name, 0) + (new is not None)
+                return m[0] if new is None else new
+
+            text = text if text is None else re.sub(kind.pattern, swap, text)
+        want.append((k, text, *(n.get(kind.name, 0) for kind in pii.KINDS)))
+    got = [(r.doc_id, r.text, *(int(r[f"n_{kind.name}"]) for kind in pii.KINDS)) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[2] for x in want) > 20 and all(sum(x[c] for x in want) > 5 for c in range(3, 10))
+
+
+def test_pseudonyms_are_distinct(spark):
+    """All values of a small format, each once: their pseudonyms are the same values in another order."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}{b}{c}@x.org" for a in letters for b in letters for c in "0123456789"]
+    ips = [f"10.0.{a}.{b}" for a in range(30) for b in range(256)]
+    days = [(datetime.date(1990, 1, 1) + datetime.timedelta(k)).isoformat() for k in range(5000)]
+    phones = [f"+1 ({a:03d}) 555-{b:04d}" for a in range(50) for b in range(100)]
+    for values, closed in ((mails, True), (ips, False), (days, False), (phones, False)):
+        out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id long, text string")).collect()]
+        assert len(set(out)) == len(values) and sum(a == b for a, b in zip(out, values)) < len(values) / 20
+        assert not closed or set(out) == set(values)
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -709,6 +836,10 @@ def test_quality(spark, docs):
     back = {r.doc_id: r.kept for r in quality.judge(every.select("doc_id", "text"), quality.RULES[::-1], figures=False).collect()}
     assert back == {r.doc_id: r.kept for r in got}
     assert quality.keep_good(every).count() == sum(r.kept for r in got)
+    few, many = (quality.judge(every.select("doc_id", "text"), rules, figures=False).collect() for rules in (quality.RULES, quality.RULES[::-1]))
+    place = {r.name: k for k, r in enumerate(quality.RULES)}
+    assert all(r.rules_tried == (len(place) if r.kept else place[r.rejected_by] + 1) for r in few)
+    assert sum(r.rules_tried for r in few) < sum(r.rules_tried for r in many)  # the base rules reject most
     assert quality.judge(empty(spark)).count() == 0
 
 
