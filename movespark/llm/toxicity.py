@@ -16,18 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, stage
+from .common import discard, documents, fold, stage
 from .textblock import blocks
 
 #: Terms: runs of letters and digits, A-Z lower-cased; bytes over 127 (parts of characters outside ASCII) count as letters.
 _BETWEEN = np.array([not (chr(b).isalnum() and b < 128) and b < 128 for b in range(256)])
 #: Bytes of the beginnings of longer words that are terms too: words are inflected and compounded.
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (4, 6)
 #: Examples of a block, neighbours that vote, entries of the dense table of frequent terms, texts searched together, and the weight of a term that says nothing.
-BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 23, 128, 0.1
+BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 22, 128, 0.1
 
 
 def training(labels: DataFrame, folds: int, held: int) -> DataFrame:
@@ -82,8 +83,11 @@ def example_terms(docs: DataFrame, examples: dict[int, int]) -> list[tuple[int,
                 out += [(known[key[a:z] % len(known)].tobytes(), tf[a:z].astype("<u4").tobytes()) for a, z in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "tfs"])
 
-    rows = one.select(F.col("doc_id").cast("long").alias("doc_id"), "m.text").mapInArrow(run, "doc_id long, terms binary, tfs binary").collect()
-    return [(r.doc_id, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.tfs, "<u4").astype(np.int64)) for r in rows]
+    rows = stage(one.select(F.col("doc_id").cast("long").alias("doc_id"), "m.text").mapInArrow(run, "doc_id long, terms binary, tfs binary"), "examples")
+    # one partition after the other, for the driver's memory
+    found = [(r.doc_id, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.tfs, "<u4").astype(np.int32)) for r in rows.toLocalIterator()]
+    discard(rows)
+    return found
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -158,29 +162,28 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], examples: dict[int, int], vocabulary: np.ndarray, idf: np.ndarray, rate: float, dense: int = DENSE) -> Index:
-        """rows: (doc_id, numbers of terms in the vocabulary, ascending, and how often it has each)."""
+        """rows: (doc_id, numbers of terms in the vocabulary, ascending, and how often it has each). The list is emptied, for the driver's memory."""
         groups: dict[tuple[bytes, bytes], list] = {}
         for doc, terms, tfs in sorted(rows, key=lambda r: r[0]):
-            groups.setdefault((terms.astype(np.int64).tobytes(), tfs.astype(np.int64).tobytes()), []).append(doc)
+            groups.setdefault((terms.astype(np.int32).tobytes(), tfs.astype(np.int32).tobytes()), []).append(doc)
         n = [max(1, sum(examples[r[0]] == k for r in rows)) for k in (0, 1)]
         of_class = [(1 - rate) / n[0], rate / n[1]]  # so that both classes weigh as in the corpus
         empty = groups.pop((b"", b""), [])
         prior = sum(of_class[1] for d in empty if examples[d]) / max(sum(of_class[examples[d]] for d in empty), 1e-12) if empty else rate
         # like ones into one block: by class, then by their most frequent terms
-        keys = sorted(groups, key=lambda k: (examples[groups[k][0]], np.frombuffer(k[0], np.int64)[np.argsort(idf[np.frombuffer(k[0], np.int64)], kind="stable")[:8]].tolist(), groups[k][0]))
+        keys = sorted(groups, key=lambda k: (examples[groups[k][0]], np.frombuffer(k[0], np.int32)[np.argsort(idf[np.frombuffer(k[0], np.int32)], kind="stable")[:8]].tolist(), groups[k][0]))
         ids = np.array([groups[k][0] for k in keys], np.int64)
         mass = np.array([[sum(of_class[examples[d]] for d in groups[k] if examples[d]), sum(of_class[examples[d]] for d in groups[k])] for k in keys]).reshape(-1, 2)
-        vectors = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for a, b in keys]
+        vectors = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in keys]
+        rows.clear()
         kinds = np.array([sum(examples[d] for d in groups[k]) / len(groups[k]) for k in keys])
         size, m = len(idf), len(keys)
-        flat = np.concatenate([t for t, _ in vectors]) if m else np.empty(0, np.int64)
-        lengths = np.array([len(t) for t, _ in vectors], np.int64)
-        present = np.bincount(flat, minlength=size).astype(float)
-        says = information(present, np.bincount(flat, np.repeat(kinds, lengths), size), m, kinds.sum())
+        present, toxic = np.zeros(size), np.zeros(size)
+        for (t, _), kind in zip(vectors, kinds):
+            present[t] += 1
+            toxic[t] += kind
+        says = information(present, toxic, m, kinds.sum())
         factor = idf * (PLAIN * (says.max(initial=0.0) or 1.0) + says)
-        weights = (1 + np.log(np.concatenate([f for _, f in vectors]) if m else np.empty(0))) * factor[flat]
-        owner = np.repeat(np.arange(m), lengths)
-        weights = (weights / np.sqrt(np.bincount(owner, weights * weights, m))[owner]).astype(np.float32)
         # the most frequent terms go to the dense table, as many as it holds
         n_blocks = max(1, -(-m // BLOCK))
         often = np.argsort(-present, kind="stable")[: dense // (n_blocks * BLOCK)]
@@ -188,11 +191,17 @@ class Index:
         row = np.full(size, -1, np.int32)
         row[often] = np.arange(len(often))
         table = np.zeros((n_blocks, len(often), BLOCK), np.float32)
-        hot = row[flat] >= 0
-        table[owner[hot] // BLOCK, row[flat[hot]], owner[hot] % BLOCK] = weights[hot]
-        order = np.argsort(flat[~hot], kind="stable")
-        begin = np.searchsorted(flat[~hot][order], np.arange(size + 1))
-        self = cls(vocabulary, factor.astype(np.float32), ids, mass[:, 0] / mass[:, 1], mass[:, 1], begin, owner[~hot][order].astype(np.int32), weights[~hot][order], row, table,
+        begin = np.concatenate([[0], np.cumsum(np.where(row < 0, present, 0))]).astype(np.int64)
+        example, value, at = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.float32), begin[:-1].copy()
+        for k, (t, f) in enumerate(vectors):
+            w = (1 + np.log(f)) * factor[t]
+            w = (w / np.sqrt(w @ w)).astype(np.float32)
+            hot = row[t] >= 0
+            table[k // BLOCK, row[t[hot]], k % BLOCK] = w[hot]
+            place = at[t[~hot]]
+            example[place], value[place] = k, w[~hot]
+            at[t[~hot]] += 1
+        self = cls(vocabulary, factor.astype(np.float32), ids, mass[:, 0] / mass[:, 1], mass[:, 1], begin, example, value, row, table,
                    table.max(2).T.astype(np.float64).copy(), (np.array([0.0]), np.array([rate])), prior)
         if m:
             self._calibrate(vectors, rate)
@@ -207,12 +216,19 @@ class Index:
         owner = np.repeat(np.arange(n), np.diff(edges))
         q = (1 + np.log(tfs)) * self.factor[terms].astype(np.float64)
         q /= np.sqrt(np.bincount(owner, q * q, n))[owner]
-        # postings of the rarer terms
+        # postings of the rarer terms, text by text: the sums of one stay in the cache
+        sums = np.zeros((n, n_blocks * BLOCK))
         rare = np.flatnonzero(self.row[terms] < 0)
-        count = self.begin[terms[rare] + 1] - self.begin[terms[rare]]
-        at = np.arange(int(count.sum())) + np.repeat(self.begin[terms[rare]] - (np.cumsum(count) - count), count)
-        place = np.repeat(owner[rare] * (n_blocks * BLOCK), count) + self.example[at]
-        sums = np.bincount(place, np.repeat(q[rare], count) * self.value[at], n * n_blocks * BLOCK).reshape(n, n_blocks, BLOCK)
+        first, count = self.begin[terms[rare]], self.begin[terms[rare] + 1] - self.begin[terms[rare]]
+        cut = np.searchsorted(rare, edges)
+        for i in range(n):
+            b, c = first[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]
+            total = int(c.sum())
+            if total:
+                at = np.repeat(b - (np.cumsum(c) - c), c)
+                at += np.arange(total)
+                sums[i] = np.bincount(self.example[at], self.value[at] * np.repeat(q[rare[cut[i] : cut[i + 1]]], c), sums.shape[1])
+        sums = sums.reshape(n, n_blocks, BLOCK)
         # what the frequent terms may add in each block at most
         often = np.flatnonzero(self.row[terms] >= 0)
         query = np.zeros((n, self.dense.shape[1]))
@@ -297,19 +313,36 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class:
     examples = labelled(rows, per_class)
     rate = rows.agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0] or 0.0
     found = example_terms(docs, examples) if examples else []
-    vocabulary = np.unique(np.concatenate([t for _, t, _ in found])) if found else np.empty(0, np.uint64)
+    vocabulary = np.empty(0, np.uint64)
+    for lo in range(0, len(found), 512):
+        vocabulary = np.union1d(vocabulary, np.unique(np.concatenate([t for _, t, _ in found[lo : lo + 512]])))
+    for k, (d, t, f) in enumerate(found):
+        found[k] = d, np.searchsorted(vocabulary, t).astype(np.int32), f
     df, n = document_frequencies(docs, vocabulary) if len(vocabulary) else (np.empty(0, np.int64), 0)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    return Index.build([(d, np.searchsorted(vocabulary, t), f) for d, t, f in found], examples, vocabulary, idf, min(max(rate, 1e-4), 0.5))
+    return Index.build(found, examples, vocabulary, idf, min(max(rate, 1e-4), 0.5))
+
+
+class Judge:
+    """Scores texts of a task by the index; equal texts, of which there may be many, once."""
+
+    MOST = 50_000
 
+    def __init__(self, index: Index):
+        self.index, self.memo = index, {}
 
-def _judge(index: Index, texts: pa.Array) -> tuple[list[float], list[list[int]]]:
-    scores, evidence = [], []
-    for edges, terms, tfs in counted(texts, index.vocabulary):
-        s, e = index.scores(edges, terms, tfs)
-        scores += s.tolist()
-        evidence += e
-    return scores, evidence
+    def __call__(self, texts: pa.Array) -> list[tuple[float, list[int]]]:
+        """The score and the evidence of each text; null texts are empty."""
+        if len(self.memo) > self.MOST:
+            self.memo.clear()
+        keys = [xxhash.xxh3_128_digest(t.as_buffer() or b"") for t in texts]
+        new = {k: i for i, k in enumerate(keys) if k not in self.memo}
+        order, at = list(new), 0
+        for edges, terms, tfs in counted(texts.take(pa.array(list(new.values()), pa.int64())), self.index.vocabulary):
+            for s, e in zip(*(x if isinstance(x, list) else x.tolist() for x in self.index.scores(edges, terms, tfs))):
+                self.memo[order[at]] = s, e
+                at += 1
+        return [self.memo[k] for k in keys]
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000) -> DataFrame:
@@ -323,8 +356,9 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, held, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(sent.value)
         for batch in batches:
-            scores, evidence = _judge(sent.value, batch.column(1))
+            scores, evidence = (list(c) for c in zip(*judge(batch.column(1)))) if batch.num_rows else ([], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
                                              names=["doc_id", "score", "predicted", "evidence"])
 
@@ -343,9 +377,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds=0, held=0, per_class=per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(sent.value)
         for batch in batches:
-            scores, _ = _judge(sent.value, batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
-            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+            found = judge(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
+            yield batch.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -498,7 +498,7 @@ def test_nearest_examples_are_exact():
         t = np.sort(rng.choice(size, rng.integers(1, 40), replace=False, p=chance / chance.sum()))
         rows.append((k, t, rng.integers(1, 4, len(t))))
     for dense in (1 << 23, 700 * 64, 0):  # all terms that occur often in the table, some, none
-        index = toxicity.Index.build(rows, {k: int(k % 3 == 0) for k, _, _ in rows}, np.arange(size, dtype=np.uint64), idf, 0.1, dense)
+        index = toxicity.Index.build(list(rows), {k: int(k % 3 == 0) for k, _, _ in rows}, np.arange(size, dtype=np.uint64), idf, 0.1, dense)
         assert dense == 0 or index.dense.shape[1] > 0
 
         def vector(t, f):
