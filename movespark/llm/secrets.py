@@ -253,30 +253,55 @@ def learn(docs: DataFrame, labelled: dict[str, list[bytes]] | None = None, per_k
     fitted on; every candidate is scored. Each task passes on no more than the bounds.
     """
 
+    bounds = [per_kind] * 3 + [ordinary]
+
+    def put(held: list[dict[int, bytes]], kind: int, h: list[int], tokens: Iterator[bytes]) -> None:
+        mine = held[kind]
+        for x, t in zip(h, tokens):
+            mine.setdefault(x, t)
+        for x in sorted(mine)[bounds[kind] :]:
+            del mine[x]
+
+    def rows(held: list[dict[int, bytes]]) -> pa.RecordBatch:
+        flat = [(k, x - (1 << 63), t) for k, mine in enumerate(held) for x, t in mine.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in flat], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "token"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[int, bytes]] = [{} for _ in KINDS]
 
-        def put(kind: int, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunk: Chunk) -> None:
-            most, mine = (ordinary if kind == 3 else per_kind), held[kind]
+        def least(kind: int, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, c: Chunk) -> None:
             h, at = np.unique(h, return_index=True)
-            for x, k in zip(h[:most].tolist(), at[:most].tolist()):
-                mine.setdefault(x, chunk.joined[starts[k] : starts[k] + lengths[k]])
-            for x in sorted(mine)[most:]:
-                del mine[x]
+            at = at[: bounds[kind]]
+            put(held, kind, h[: bounds[kind]].tolist(), (c.joined[starts[k] : starts[k] + lengths[k]] for k in at.tolist()))
 
         for batch in batches:
             for _, c in _chunks(batch.column(0).fill_null(b"").to_pylist()):
-                put(3, c.hash, c.starts, c.lengths, c)
+                least(3, c.hash, c.starts, c.lengths, c)
                 for kind, (pattern, group, _) in enumerate(PATTERNS):
                     at = [pattern.match(c.joined, s).span(group) for s, k, _ in c.spans if k == kind]
                     if at:
                         starts, ends = np.array(at).T
-                        put(kind, c.block.hashes(starts, ends - starts), starts, ends - starts, c)
-        rows = [(k, x - (1 << 63), t) for k, mine in enumerate(held) for x, t in mine.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "token"])
+                        least(kind, c.block.hashes(starts, ends - starts), starts, ends - starts, c)
+        yield rows(held)
 
-    tokens = stage(docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind int, h long, token binary").distinct(), "tokens")
-    taken = [[bytes(r.token) for r in tokens.where(F.col("kind") == k).orderBy("h", "token").limit(ordinary if k == 3 else per_kind).select("token").collect()] for k in range(4)]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[int, bytes]] = [{} for _ in KINDS]
+        for batch in batches:
+            kinds, hashes, tokens = (c.to_pylist() for c in batch.columns)
+            for kind in set(kinds):
+                put(held, kind, *zip(*((x + (1 << 63), t) for k, x, t in zip(kinds, hashes, tokens) if k == kind)))
+        yield rows(held)
+
+    # what tasks found is merged in a tree, so that no task and not the driver gets more than some tasks' bounds
+    tokens = stage(docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind int, h long, token binary"), "tokens")
+    n, most = tokens.count(), sum(bounds)
+    while n > 4 * most:
+        n //= 4
+        tokens = tokens.repartition(-(-n // most)).mapInArrow(merge, "kind int, h long, token binary")
+    found = next(merge(iter(tokens.toArrow().to_batches())))
+    taken: list[list[bytes]] = [[] for _ in KINDS]
+    for kind, _, token in sorted(zip(*(c.to_pylist() for c in found.columns))):
+        taken[kind].append(token)
     return Formats(labelled if labelled is not None else dict(zip(KINDS, taken[:3])), taken[3])
 
 
