@@ -38,8 +38,10 @@ def fold(key: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application inside spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A folder of this application inside spark.checkpoint.dir. Where that is unset a temporary one serves, in local mode only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf:
         conf = f"file://{tempfile.gettempdir()}/movespark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", conf)
