@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, in_pieces, runs, stage
 
@@ -86,10 +87,13 @@ def near_copies(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Vectors are compared if their labels are equal and not null. Those that are null, empty or zero, or hold null or
     non-finite components, link with nothing: no links, their own component, kept. So do vectors whose number of
-    dimensions differs. Equal vectors link. Repeated rows are separate vectors. Null ids stay null and
+    dimensions differs. Vectors of equal 64-bit hash of label and components are taken for equal, and link. Repeated rows are separate vectors. Null ids stay null and
     name a component only if it has no other. Other columns are ignored; an empty table gives an empty one.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    # components stay as exact as they come; labels that are no numbers are told apart by a hash of 64 bits, as vectors are
+    exact = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "double"
+    label = F.col("label").cast("long") if isinstance(vectors.schema["label"].dataType, T.IntegralType) else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{exact}>").alias("embedding"), label.alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     nodes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

@@ -191,6 +191,22 @@ def test_base_scores(spark, docs):
     assert scoring.score(empty(spark)).count() == 0
 
 
+def test_scores_are_a_distribution(spark):
+    """Texts of one word each: what the model gives to all of them, known words and others, is no more than one."""
+    rng = random.Random(13)
+    known = sorted({prose(rng, 1) for _ in range(400)})
+    rows = [(k, " ".join(rng.choices(known, weights=[1 / (j + 1) for j in range(len(known))], k=60))) for k in range(150)]
+    ones = [*known, *(w + "zq" for w in known[:200]), *"0123456789", "x" * 50, ""]
+    rows += [(1000 + k, w) for k, w in enumerate(ones)]
+    got = {r.doc_id: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    total = sum(10 ** got[1000 + k].score for k in range(len(ones)))
+    assert 0.0 < total <= 1.0
+    held = [r for i, r in got.items() if i < 1000 and r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held) - 0.35 * sum(r.n_tokens for r in held)
+    again = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(again[i] == pytest.approx(r.score, rel=1e-3) for i, r in got.items())
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -476,6 +492,15 @@ def test_embedding_links(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(seen), min(seen) == i)
 
 
+def test_embeddings_of_doubles_and_text_labels(spark):
+    a = [1.0, 0.0, 1e-9]
+    rows = [(1, a, "x", "c"), (2, [1.0, 0.0, 2e-9], "x", "c"), (2, a, "x", "c"), (3, a, "y", "c"), (4, [0.0, 1.0, 0.0], "x", "c"), (5, None, "x", "c"), (6, a, None, "c")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, node string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_copies(d).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+    assert embeddings.near_copies(d.where("false")).count() == 0
+
+
 # ---------------------------------------------------------------- 6
 
 
