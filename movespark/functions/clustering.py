@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -38,20 +39,25 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
         return float(((s[:, None] + s[None]) / d).max(1).mean())
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+def silhouette(x: np.ndarray, labels: np.ndarray, block: int = 1024) -> float:
+    """The mean silhouette; distances are made for a block of points at a time."""
     ids = np.unique(labels)
     if len(ids) < 2:
         return -1.0
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    total = np.stack([d[:, labels == i].sum(1) for i in ids], 1)
-    size = np.array([(labels == i).sum() for i in ids])
-    own = np.searchsorted(ids, labels)
-    at = np.arange(len(x))
-    a = total[at, own] / np.maximum(size[own] - 1, 1)
-    other = total / size
-    other[at, own] = np.inf
-    b = other.min(1)
-    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
+    size, own, square = np.array([(labels == i).sum() for i in ids]), np.searchsorted(ids, labels), (x * x).sum(1)
+    member = (own[:, None] == np.arange(len(ids))).astype(float)
+    values = np.empty(len(x))
+    for lo in range(0, len(x), block):
+        part = slice(lo, lo + block)
+        d = np.sqrt(np.maximum(square[part, None] + square[None] - 2 * x[part] @ x.T, 0))
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 0
+        total, mine, at = d @ member, own[part], np.arange(len(d))
+        a = total[at, mine] / np.maximum(size[mine] - 1, 1)
+        other = total / size
+        other[at, mine] = np.inf
+        b = other.min(1)
+        values[part] = np.where(size[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0)
+    return float(values.mean())
 
 
 def knee(ks: Sequence[int], values: Sequence[float]) -> int:
@@ -75,16 +81,35 @@ def best_kmeans(x: np.ndarray, ks: Sequence[int], optimal: str, seed: int) -> tu
     return tried[at][0], rows
 
 
+def _neighbours(x: np.ndarray, eps: float):
+    """A function that tells the points within eps of one, from the cells of a grid around it."""
+    side = eps if eps > 0 else 1.0
+    cells = np.floor(x / side).astype(np.int64)
+    held: dict[tuple, list[int]] = {}
+    for i, c in enumerate(map(tuple, cells.tolist())):
+        held.setdefault(c, []).append(i)
+    members = {c: np.array(v) for c, v in held.items()}
+    steps = list(itertools.product((-1, 0, 1), repeat=x.shape[1]))
+
+    def near(i: int) -> np.ndarray:
+        c = cells[i].tolist()
+        found = [members[k] for s in steps if (k := tuple(a + b for a, b in zip(c, s))) in members]
+        at = np.sort(np.concatenate(found))
+        return at[((x[at] - x[i]) ** 2).sum(1) <= eps * eps]
+
+    return near
+
+
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels from 0 in the order of the points; noise, if any, is 0 and clusters then begin at 1."""
-    near = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
-    core = np.array([len(n) >= min_samples for n in near])
+    """Labels from 0 in the order of the points; noise, if any, is 0 and clusters then begin at 1. Neighbours are looked up, not kept."""
+    near = _neighbours(x, eps)
+    core = np.array([len(near(i)) >= min_samples for i in range(len(x))], bool)
     labels, k = np.full(len(x), -1), 0
     for i in range(len(x)):
         if labels[i] < 0 and core[i]:
             labels[i], front = k, [i]
             while front:
-                for j in near[front.pop()]:
+                for j in near(front.pop()):
                     if labels[j] < 0:
                         labels[j] = k
                         if core[j]:

@@ -172,6 +172,22 @@ class Dataset:
         method.__doc__ = operator.__doc__
         return method
 
+    def _pairs(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:  # noqa: N805
+        def method(self: Dataset, *args: Any, tracks0: Sequence[str] | None = None, tracks1: Sequence[str] | None = None, meta_cols: Sequence[str] = (), **options: Any) -> DataFrame:
+            """tracks0 and tracks1 choose the tracks of either side (one of them: those among themselves); meta_cols are static columns to add."""
+            sides = [self.points if t is None else export.get_tracks(self.points, list(t)) for t in (tracks0, tracks1)]
+            if tracks1 is not None:
+                options.setdefault("others", sides[1])
+            found = operator(sides[0], *args, **options)
+            if tracks1 is not None:
+                found = found.where("track_id_0 <> track_id_1")
+            if operator is pairs.encounters:
+                found = pairs.with_circles(found)
+            return pairs.with_static(found, self.agents, meta_cols) if meta_cols else found
+
+        method.__doc__ = f"{operator.__doc__}\n\n    {method.__doc__}"
+        return method
+
     resample_spacing, resample_time, resample_time_global = _plain(resample.spacing), _plain(resample.time), _plain(resample.on_axis)
     smooth_corners = _plain(resample.smooth_corners)
     compute_turning_rate, compute_acceleration, compute_timestep = _plain(features.turning_rate), _plain(features.acceleration), _plain(features.timestep)
@@ -183,7 +199,8 @@ class Dataset:
     classify_speed, classify_turns, classify_speed_in_polygon = _plain(classify.speed), _plain(classify.turns), _plain(classify.speed_in_polygon)
     classify_trip, classify_touching, classify_stops, classify_custom = _plain(classify.trip), _plain(classify.touching), _plain(classify.stops), _plain(classify.custom)
     assign_nearest_node = _plain(zones.nearest_node)
-    encounters, intersections, proximity_to_object, proximities = _table(pairs.encounters), _table(pairs.intersections), _table(pairs.proximity_to_object), _table(pairs.proximities)
+    encounters, intersections, proximities = _pairs(pairs.encounters), _pairs(pairs.intersections), _pairs(pairs.proximities)
+    proximity_to_object = _table(pairs.proximity_to_object)
     proximities_binned, proximities_relative = _table(pairs.proximities_binned), _table(pairs.proximities_relative)
     time_in_polygon, lateral_points, generate_flow_map = _table(zones.time_in_polygon), _table(zones.lateral_points), _table(zones.flow_map)
     rasterize = _table(export.rasterize)
@@ -191,7 +208,7 @@ class Dataset:
     def lateral_distribution(self, start: tuple[float, float], end: tuple[float, float], bins: float = 100, split: bool = True, density: bool = True, **options: Any) -> DataFrame:
         return zones.lateral_distribution(zones.lateral_points(self.points, start, end, **options), bins, split, density)
 
-    del _plain, _table
+    del _plain, _table, _pairs
 
 
 def read(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", crs: int = 4326) -> Dataset:

@@ -9,14 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Standard columns and words by which they are known, in any case and with any separator.
-STANDARD = {
-    "Time": ["time", "timestamp", "base date time", "date time", "datetime"], "X": ["x", "lon", "long", "longitude"], "Y": ["y", "lat", "latitude"],
-    "MMSI": ["mmsi"], "IMO": ["imo"], "Name": ["name", "vessel name", "ship name"], "Callsign": ["call sign", "callsign"], "AISCode": ["ais code", "vessel type", "ship type"],
-    "Length": ["length"], "Width": ["width", "beam"], "Draft": ["draft", "draught"], "Status": ["status", "nav status"], "Speed": ["speed", "sog"],
-    "Coursing": ["coursing", "course", "cog"], "Heading": ["heading"], "Cargo": ["cargo"],
-}
-
+from .mappers import COLUMNS
 
 def _plain(name: str) -> str:
     return re.sub(r"[\s_\-]+", "", name).lower()
@@ -24,7 +17,7 @@ def _plain(name: str) -> str:
 
 def standard_columns() -> dict[str, str]:
     """Standard names by plain spelling: lower case without separators."""
-    return {_plain(w): std for std, words in STANDARD.items() for w in words}
+    return {_plain(w): std for std, words in COLUMNS.items() for w in [std, *words]}
 
 
 def column_mapper(columns: Sequence[str], fill: Mapping[str, str] | None = None) -> dict[str, str | None]:

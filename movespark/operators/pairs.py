@@ -13,6 +13,19 @@ from ..functions.tracks import from_micros, micros, nxt, prev
 from ..plans.joins import cells_of, interval_join, salted_join
 
 
+def with_static(pairs: DataFrame, agents: DataFrame, columns: Sequence[str], others: DataFrame | None = None) -> DataFrame:
+    """Adds static columns of both agents of a pair, as <column>_0 and <column>_1. Agents that aren't known get nulls."""
+    for k, table in enumerate((agents, agents if others is None else others)):
+        static = table.select(F.col("agent_id").alias(f"agent_id_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+        pairs = pairs.join(static, f"agent_id_{k}", "left")
+    return pairs
+
+
+def with_circles(found: DataFrame) -> DataFrame:
+    """Adds the circle through both points of an encounter: its centre (x, y) and radius."""
+    return found.withColumns({"x": (F.col("x_0") + F.col("x_1")) / 2, "y": (F.col("y_0") + F.col("y_1")) / 2, "radius": F.col("distance") / 2})
+
+
 def _spans(points: DataFrame, k: int) -> DataFrame:
     t = micros(F.col("time")) / F.lit(1e6)
     return points.groupBy("track_id").agg(F.min(t).alias(f"start_{k}"), F.max(t).alias(f"end_{k}")).withColumnRenamed("track_id", f"track_id_{k}")
@@ -175,8 +188,8 @@ def proximities(points: DataFrame, others: DataFrame | None = None, within: floa
     With `within` only times at which the two are no farther apart count; pairs that never are don't appear.
     """
     best = F.struct("distance", "time", "x_0", "y_0", "x_1", "y_1")
-    out = _common(points, others, within).groupBy("track_id_0", "track_id_1").agg(F.count("*").alias("common_timesteps"), F.min(best).alias("b"))
-    return out.select("track_id_0", "track_id_1", "common_timesteps", F.col("b.distance").alias("min_distance"), "b.time", "b.x_0", "b.y_0", "b.x_1", "b.y_1")
+    out = _common(points, others, within).groupBy("track_id_0", "track_id_1").agg(F.first("agent_id_0").alias("agent_id_0"), F.first("agent_id_1").alias("agent_id_1"), F.count("*").alias("common_timesteps"), F.min(best).alias("b"))
+    return out.select("agent_id_0", "track_id_0", "agent_id_1", "track_id_1", "common_timesteps", F.col("b.distance").alias("min_distance"), "b.time", "b.x_0", "b.y_0", "b.x_1", "b.y_1")
 
 
 def _shares(points: DataFrame, others: DataFrame | None, bins: Sequence[float], compat: bool) -> DataFrame:

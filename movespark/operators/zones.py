@@ -51,6 +51,36 @@ def nearest_node(points: DataFrame, nodes: Sequence[tuple[int, float, float]], n
     return points.withColumn(name, F.array_min(table)["c"])
 
 
+def voronoi_cells(nodes: Sequence[tuple[int, float, float]], margin: float = 500_000.0) -> dict[int, list[tuple[float, float]]]:
+    """The polygon of places nearest to each node (code, x, y), inside a square that reaches `margin` beyond the nodes.
+
+    The square is cut by the line halfway to each other node. Of nodes in one place only the smallest code has a cell.
+    """
+    xs, ys = [n[1] for n in nodes], [n[2] for n in nodes]
+    x0, x1, y0, y1 = min(xs) - margin, max(xs) + margin, min(ys) - margin, max(ys) + margin
+    out: dict[int, list[tuple[float, float]]] = {}
+    for code, x, y in sorted(nodes):
+        cell = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        for other, a, b in nodes:
+            if (a, b) == (x, y):
+                cell = [] if other < code else cell
+                continue
+            # positive on the node's side
+            side = lambda p: (x - a) * (2 * p[0] - a - x) + (y - b) * (2 * p[1] - b - y)  # noqa: B023, E731
+            kept: list[tuple[float, float]] = []
+            for p, q in zip(cell, cell[1:] + cell[:1]):
+                u, v = side(p), side(q)
+                if u >= 0:
+                    kept.append(p)
+                if (u > 0 > v) or (u < 0 < v):
+                    t = u / (u - v)
+                    kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            cell = kept
+        if cell:
+            out[code] = cell
+    return out
+
+
 def lateral_points(points: DataFrame, start: tuple[float, float], end: tuple[float, float], spacing: float = 100, n_slices: int = 0, polygon: Points | None = None) -> DataFrame:
     """Where tracks cross sections at right angles to an axis: (longitudinal, lateral, direction, x, y, track).
 

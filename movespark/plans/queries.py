@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import edges_of
-from ..operators import classify, edit, export, features, ingest, mapping, meta, pairs, resample, simplify, split, zones
+from ..operators import classify, edit, export, features, ingest, mappers, mapping, meta, pairs, resample, simplify, split, zones
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,16 @@ def _(s, d):
     return rows.groupBy(F.concat(F.lit("agent"), F.col("user_id").cast("string")).alias("agent_id")).agg(F.count("*").alias("n"))
 
 
+@query("scan_csv", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 3")
+def _(s, d):
+    """Orders as CSV lines, one in ten of them with a field too many, read again."""
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderpriority")
+    more = F.when(F.col("o_orderkey") % 10 == 3, ",x").otherwise("")
+    path = files.work_dir(s, "orders-csv")
+    rows.select(F.concat_ws(",", "o_orderkey", F.concat("o_orderpriority", more))).write.mode("overwrite").text(path)
+    return files.read_csv(s, path, ["o_orderkey", "o_orderpriority"], header=False).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
 BOX = (50.0, 20.0, 250.0, 80.0)
 
 
@@ -219,7 +229,11 @@ def _(s, d):
     return meta.agent_static_mode(raw_points(s, d), ["status"])
 
 
-@query("col_mapper")
+_SYNONYMS = ", ".join(f"('{std}', '{w}')" for std, words in mappers.COLUMNS.items() for w in [std, *words])
+_PLAIN = f"SELECT DISTINCT lower(regexp_replace(w, '[ _-]+', '', 'g')) AS raw, std AS mapped FROM (VALUES {_SYNONYMS}) v(std, w)"
+
+
+@query("col_mapper", f"WITH m AS ({_PLAIN}) SELECT c AS raw, mapped FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props'), ('Base Date-Time'), ('LAT'), ('lon')) v(c) LEFT JOIN m ON m.raw = lower(regexp_replace(c, '[ _-]+', '', 'g'))")
 def _(s, d):
     got = mapping.column_mapper(table(s, d, "events").columns + ["Base Date-Time", "LAT", "lon"])
     return s.createDataFrame(list(got.items()), "raw string, mapped string")
@@ -231,11 +245,28 @@ def _(s, d):
     return mapping.raw_value_mapper(table(s, d, "events"), ["event_type", "user_id"], fill)
 
 
-@query("std_columns")
+@query("std_columns", _PLAIN)
 def _(s, d):
     return mapping.standard_table(s)
 
 
+_RAW_STATUS = ("At anchor", "5.0", "MOORED", "16", "under way using engine", "nonsense", "7", "Power-driven vessel towing astern", "17")
+
+
+@query("ais_status", "SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {k} THEN {v}" for k, v in ((0, 1), (1, 5), (2, 5), (3, 15), (4, 0), (6, 7), (7, 11))) + " ELSE -1 END AS status FROM events")
+def _(s, d):
+    raw = F.element_at(F.array(*[F.lit(v) for v in _RAW_STATUS]), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(s, d, "events").select("event_id", F.coalesce(mappers.status_code(raw), F.lit(-1)).alias("status"))
+
+
+@query("ais_types", """WITH c AS (SELECT event_id, event_id % 1100 AS c FROM events) SELECT event_id, CASE WHEN c = 0 THEN 'Unknown' WHEN c IN (30, 1001, 1002) THEN 'Fishing' WHEN c IN (31, 32, 52, 1025) THEN 'Tug/Tow' WHEN c = 35 THEN 'Military'
+ WHEN c IN (36, 37, 1019) THEN 'Recreational' WHEN c IN (51, 1021) THEN 'SAR' WHEN c BETWEEN 60 AND 69 OR c BETWEEN 1012 AND 1015 THEN 'Passenger' WHEN c BETWEEN 70 AND 79 OR c IN (1003, 1004, 1016) THEN 'Cargo' WHEN c BETWEEN 80 AND 89 OR c IN (1017, 1023, 1024) THEN 'Tanker'
+ WHEN c < 1000 OR c BETWEEN 1005 AND 1022 THEN 'Other' ELSE 'none' END AS type, c BETWEEN 100 AND 199 AS regional FROM c""")
+def _(s, d):
+    rows = table(s, d, "events").select("event_id", (F.col("event_id") % 1100).alias("AISCode"))
+    return mappers.with_vessel_types(rows).select("event_id", F.coalesce("type", F.lit("none")).alias("type"), F.coalesce(F.col("typestandard") == "Reserved for regional use", F.lit(False)).alias("regional"))
+
+
 @query("meta_values", "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL")
 def _(s, d):
     return mapping.values_of(table(s, d, "customer"), "c_mktsegment")
@@ -290,7 +321,15 @@ def _(s, d):
     return split.by_data(raw_points(s, d), "status").select("tie", "track_id")
 
 
-@query("split_overlap")
+# point by point: the first track whose last point is near enough, or a new one
+OVERLAP_SQL = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT agent_id, tie, epoch_us(time) / 1e6 AS t, x, y, row_number() OVER (PARTITION BY agent_id ORDER BY time, tie) AS k FROM d2),
+go(agent_id, k, tie, hit, tails) AS (SELECT agent_id, k, tie, CAST(1 AS BIGINT), [{{'t': t, 'x': x, 'y': y}}] FROM o WHERE k = 1
+ UNION ALL SELECT agent_id, k, tie, hit, list_concat(list_concat(tails[:hit - 1], [{{'t': t, 'x': x, 'y': y}}]), tails[hit + 1:]) FROM (
+  SELECT o.*, tails, CAST(coalesce(list_position(list_transform(tails, lambda e: o.t - e.t <= 172800 AND sqrt((o.x - e.x)**2 + (o.y - e.y)**2) <= 60), true), len(tails) + 1) AS BIGINT) AS hit FROM go JOIN o ON o.agent_id = go.agent_id AND o.k = go.k + 1))
+SELECT tie, agent_id || '_T' || (hit - 1) AS track_id, row_number() OVER (PARTITION BY agent_id, hit ORDER BY k) - 1 AS seq FROM go"""
+
+
+@query("split_overlap", OVERLAP_SQL)
 def _(s, d):
     return split.overlapping(raw_points(s, d), 172_800, 60.0).select("tie", "track_id", "seq")
 
@@ -495,7 +534,21 @@ for _m, _f, _b in (("forward", 1, 0), ("backward", 0, 1), ("middle", 1, 1)):
         return features.speed(points(s, d), m).select("track_id", "seq", "speed")
 
 
-@query("coursing_geodesic")
+def _geodesic_sql() -> str:
+    """Vincenty's inverse formula, fifteen times over."""
+    f = 1 / 298.257223563
+    base = BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    step = "sqrt((cos(u2) * sin(lam))**2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam))**2)"
+    return base + f""", ends AS (SELECT track_id, seq, x / 4 - 90 AS lon, y / 2 AS lat, nx / 4 - 90 AS lon2, ny / 2 AS lat2 FROM st),
+g0 AS (SELECT track_id, seq, atan((1 - {f}) * tan(radians(lat))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, radians(lon2 - lon) AS l FROM ends WHERE lon2 IS NOT NULL),
+v(track_id, seq, u1, u2, l, lam, k) AS (SELECT *, l, 0 FROM g0 UNION ALL SELECT track_id, seq, u1, u2, l, CASE WHEN ss = 0 THEN l ELSE l + (1 - c) * {f} * sa * (atan2(ss, cs) + c * ss * (m + c * cs * (2 * m * m - 1))) END, k + 1 FROM (
+ SELECT *, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS c, CASE WHEN c2 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / c2 ELSE 0 END AS m FROM (SELECT *, 1 - sa * sa AS c2 FROM (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa FROM (
+  SELECT *, {step} AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v WHERE k < 15)))) ),
+az AS (SELECT track_id, seq, degrees(atan2(cos(u2) * sin(lam), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam))) AS a FROM v WHERE k = 15)
+SELECT p.track_id, p.seq, round((((coalesce(az.a, bz.a)) % 360) + 360) % 360, 6) + 0.0 AS coursing FROM pts p LEFT JOIN az ON az.track_id = p.track_id AND az.seq = p.seq LEFT JOIN az bz ON bz.track_id = p.track_id AND bz.seq = p.seq - 1"""
+
+
+@query("coursing_geodesic", _geodesic_sql())
 def _(s, d):
     p = points(s, d).withColumns({"x": F.col("x") / 4 - 90, "y": F.col("y") / 2})
     return features.coursing(p, "forward", geographic=True).select("track_id", "seq", "coursing")
@@ -569,7 +622,22 @@ def _(s, d):
     return resample.reproject(p, 4326, 3857).select("tie", "x", "y")
 
 
-@query("reproject_utm")
+def _utm_sql() -> str:
+    """Krueger's series in SQL: inverse hyperbolic functions as logarithms."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a0 = 0.9996 * 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    al = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    ath = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
+    sinh, cosh = (lambda v: f"((exp({v}) - exp(-({v}))) / 2)"), (lambda v: f"((exp({v}) + exp(-({v}))) / 2)")
+    x = " + ".join(f"{a} * cos({2 * j} * xi) * {sinh(f'{2 * j} * eta')}" for j, a in enumerate(al, 1))
+    y = " + ".join(f"{a} * sin({2 * j} * xi) * {cosh(f'{2 * j} * eta')}" for j, a in enumerate(al, 1))
+    return f"""WITH {RAW}, g AS (SELECT tie, sin(radians(y / 20 + 38)) AS s, radians(x / 200 - 76 + 75) AS lam FROM raw), h AS (SELECT *, {ath('s')} - {e} * {ath(f'({e} * s)')} AS q FROM g), k AS (SELECT *, {sinh('q')} AS t FROM h),
+m AS (SELECT tie, atan2(t, cos(lam)) AS xi, sin(lam) / sqrt(1 + t * t) AS v FROM k), o AS (SELECT tie, xi, {ath('v')} AS eta FROM m) SELECT tie, round(500000 + {a0} * (eta + {x}), 6) + 0.0 AS x, round({a0} * (xi + {y}), 6) + 0.0 AS y FROM o"""
+
+
+@query("reproject_utm", _utm_sql())
 def _(s, d):
     p = raw_points(s, d).withColumns({"x": F.col("x") / 200 - 76, "y": F.col("y") / 20 + 38})
     return resample.reproject(p, 4326, 32618).select("tie", "x", "y")
@@ -619,12 +687,35 @@ def _(s, d):
     return resample.smooth_corners(points(s, d), 2).select("track_id", "seq", "x", "y")
 
 
-@query("decimate")
+EPSILON = 25.0
+# a piece is split at its farthest point until none is farther than the tolerance
+DECIMATE_SQL = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", seg(track_id, a, b) AS (SELECT track_id, CAST(0 AS BIGINT), max(seq) FROM pts GROUP BY track_id HAVING max(seq) > 0
+ UNION ALL SELECT track_id, unnest([a, k]), unnest([k, b]) FROM (SELECT track_id, a, b, first(seq ORDER BY far DESC, seq) AS k, max(far) AS far FROM (
+  SELECT s.track_id, a, b, p.seq, CASE WHEN q.x = r.x AND q.y = r.y THEN sqrt((p.x - q.x)**2 + (p.y - q.y)**2) ELSE abs((r.x - q.x) * (p.y - q.y) - (r.y - q.y) * (p.x - q.x)) / sqrt((r.x - q.x)**2 + (r.y - q.y)**2) END AS far
+  FROM seg s JOIN pts q ON q.track_id = s.track_id AND q.seq = a JOIN pts r ON r.track_id = s.track_id AND r.seq = b JOIN pts p ON p.track_id = s.track_id AND p.seq > a AND p.seq < b) GROUP BY track_id, a, b) WHERE far > {EPSILON}),
+keep AS (SELECT track_id, a AS seq FROM seg UNION SELECT track_id, b FROM seg UNION SELECT track_id, 0 FROM pts)
+SELECT p.track_id, row_number() OVER (PARTITION BY p.track_id ORDER BY p.seq) - 1 AS seq, tie FROM pts p JOIN keep k ON k.track_id = p.track_id AND k.seq = p.seq"""
+
+
+@query("decimate", DECIMATE_SQL)
 def _(s, d):
-    return simplify.decimate(points(s, d), 25.0).select("track_id", "seq", "tie")
+    return simplify.decimate(points(s, d), EPSILON).select("track_id", "seq", "tie")
+
 
+# the walk from one mark to the next: as far as the distance allows, or where turns add up if that comes first and isn't near
+CHARACTERISTIC_SQL = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + STOPS + """, cw AS (SELECT track_id, seq, coursing, sum(coalesce(bdr, 0)) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS way, count(*) OVER (PARTITION BY track_id) AS total FROM co),
+mark AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS k FROM (SELECT DISTINCT track_id, a, z, CASE WHEN len > 1800 THEN a ELSE z END AS goal FROM sr WHERE f)),
+start AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i FROM pts UNION ALL SELECT track_id, k, z FROM mark),
+goal AS (SELECT track_id, k - 1 AS k, goal AS j FROM mark UNION ALL SELECT s.track_id, max(s.k), (SELECT max(seq) FROM pts p WHERE p.track_id = s.track_id) FROM start s GROUP BY s.track_id),
+walk(track_id, i, j) AS (SELECT track_id, i, j FROM start JOIN goal USING (track_id, k)
+ UNION ALL SELECT u.track_id, CASE WHEN bent < far AND b.way - one > 50 THEN bent ELSE far END, j FROM (
+  SELECT w.track_id, w.i, w.j, any_value(q.way) AS one, w.i + count(*) FILTER (p.way - q.way < 400) AS far, w.i + count(*) FILTER (abs(p.coursing - q.coursing) < 90) AS bent
+  FROM walk w JOIN cw q ON q.track_id = w.track_id AND q.seq = w.i + 1 JOIN cw p ON p.track_id = w.track_id AND p.seq > w.i AND p.seq <= w.j WHERE w.i < w.j GROUP BY w.track_id, w.i, w.j) u JOIN cw b ON b.track_id = u.track_id AND b.seq = greatest(bent, u.i + 1)),
+kept AS (SELECT track_id, i AS seq FROM walk UNION SELECT track_id, j FROM goal)
+SELECT c.track_id, c.seq, total < 3 OR k.seq IS NOT NULL AS characteristic FROM cw c LEFT JOIN kept k ON k.track_id = c.track_id AND k.seq = c.seq"""
 
-@query("characteristic")
+
+@query("characteristic", CHARACTERISTIC_SQL)
 def _(s, d):
     p = features.coursing(speeds(s, d))
     return simplify.characteristic(p, STOP, 90.0, 50.0, 400.0, 1800.0).select("track_id", "seq", "characteristic")
@@ -635,9 +726,17 @@ def _(s, d):
     return simplify.simplify_stops(speeds(s, d), STOP, 1800, None).select("track_id", "tie")
 
 
-@query("simplify_stops_drift")
+DRIFT = 20.0
+# a leg begins one point after the first that lies so far from where the leg before began
+DRIFT_SQL = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + STOPS + f""", stop AS (SELECT DISTINCT track_id, a, z FROM sr WHERE f AND n >= 2 AND len >= 1800),
+leg(track_id, i, z) AS (SELECT track_id, a, z FROM stop UNION ALL SELECT l.track_id, min(p.seq) + 1, l.z FROM leg l JOIN pts q ON q.track_id = l.track_id AND q.seq = l.i JOIN pts p ON p.track_id = l.track_id AND p.seq >= l.i AND p.seq < l.z
+ WHERE sqrt((p.x - q.x)**2 + (p.y - q.y)**2) >= {DRIFT} GROUP BY l.track_id, l.i, l.z)
+SELECT track_id, tie FROM sr WHERE NOT (f AND n >= 2 AND len >= 1800) OR seq = z OR EXISTS (SELECT 1 FROM leg WHERE leg.track_id = sr.track_id AND leg.i = sr.seq)"""
+
+
+@query("simplify_stops_drift", DRIFT_SQL)
 def _(s, d):
-    return simplify.simplify_stops(speeds(s, d), STOP, 1800, 20.0).select("track_id", "tie")
+    return simplify.simplify_stops(speeds(s, d), STOP, 1800, DRIFT).select("track_id", "tie")
 
 
 def _imprint_sql() -> str:

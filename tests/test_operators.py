@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 
 from movespark import Dataset, from_df, from_lines
 from movespark.functions import clustering, kernels
-from movespark.operators import classify, export, features, mapping, meta, pairs, resample, simplify, split, zones
+from movespark.operators import classify, export, features, mappers, mapping, meta, pairs, resample, simplify, split, zones
+from movespark.sources import files
 from movespark.plans.joins import interval_join, salted_join
 
 T0 = dt.datetime(2024, 1, 1)
@@ -284,3 +285,85 @@ def test_tracks_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [(r.agent_id, r.seq, r.x) for r in out] == [("a", k, float(k)) for k in range(40)] + [("b", 0, 0.0), ("b", 1, 29.0)]
+
+
+def test_dbscan_and_silhouette_against_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        x = rng.normal(size=(rng.integers(1, 60), 2)) * 2
+        eps, least = 0.6, int(rng.integers(1, 5))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        core = (d <= eps).sum(1) >= least
+        want, k = [-1] * len(x), 0
+        for i in range(len(x)):
+            if want[i] < 0 and core[i]:
+                front = [i]
+                want[i] = k
+                while front:
+                    j = front.pop()
+                    for m in range(len(x)):
+                        if core[j] and d[j, m] <= eps and want[m] < 0:
+                            want[m] = k
+                            front.append(m)
+                k += 1
+        got = clustering.dbscan(x, eps, least)
+        shift = 1 if -1 in want else 0
+        assert [g - shift for g in got] == want
+        labels = rng.integers(0, 3, len(x))
+        if len(set(labels.tolist())) > 1:
+            s = []
+            for i in range(len(x)):
+                mine = [d[i, j] for j in range(len(x)) if labels[j] == labels[i] and j != i]
+                b = min(np.mean([d[i, j] for j in range(len(x)) if labels[j] == c]) for c in set(labels.tolist()) - {labels[i]})
+                s.append((b - np.mean(mine)) / max(b, np.mean(mine)) if mine else 0.0)
+            assert clustering.silhouette(x, labels, block=7) == pytest.approx(np.mean(s), abs=1e-6)
+
+
+def test_vessel_codes_and_status(spark):
+    assert [mappers.vessel_type(k) for k in (0, 29, 30, 49, 64, 150, 255, 999, 1000, 1024)] == [
+        ("Not available or no ship, default", "Unknown"), ("Wing in ground (WIG), reserved for future use", "Other"), ("Fishing", "Fishing"), ("High speed craft (HSC), no additional information", "Other"),
+        ("Passenger, hazardous category D", "Passenger"), ("Reserved for regional use", "Other"), ("Reserved for future use", "Other"), ("No designation", "Other"), None, ("Tank Ship", "Tanker")]
+    assert mappers.vessel_types(spark).count() == 1025
+    rows = spark.createDataFrame([(" Moored ",), ("3.0",), ("16",), ("x",), (None,), ("AIS-SART (active)",)], "s string")
+    assert [r.c for r in rows.select(mappers.status_code(rows.s).alias("c")).collect()] == [5, 3, 15, None, None, 14]
+    assert mappers.update({"a": 1, "b": 2}, {"b": 3, "c": None, "d": ""}) == {"a": 1, "b": 3}
+
+
+def test_csv_counts_bad_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("MMSI,LON\n1,2\n1,2,3\n4,5\n6\n")
+    good = files.read_csv(spark, str(tmp_path), ["MMSI", "LON"])
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "2"), ("4", "5")]
+    assert good.count() == 2 and good.select("LON").count() == 2
+    assert [(r.lines, r.bad) for r in files.bad_lines(spark, str(tmp_path), ["MMSI", "LON"]).collect()] == [(4, 2)]
+
+
+def test_points_in_any_number_of_buckets(spark, tmp_path):
+    both = track(spark, [(k, k, 0) for k in range(20)], "a").unionByName(track(spark, [(0, 1, 1)], "b"))
+    for n, per in ((None, 5), (3, 1), (None, 10_000)):
+        path = str(tmp_path / f"{n}-{per}")
+        files.write_points(both, path, n, per_bucket=per)
+        assert files.read_points(spark, path).count() == 21 and files.read_points(spark, path, ["b"]).collect()[0].x == 1.0
+        assert files.read_points(spark, path).columns == both.columns
+
+
+def test_voronoi_cells_hold_what_is_nearest():
+    rng = np.random.default_rng(4)
+    nodes = [(k + 1, *map(float, p)) for k, p in enumerate(rng.uniform(0, 100, (12, 2)))] + [(99, *[0.0, 0.0])]
+    cells = zones.voronoi_cells(nodes, 50.0)
+    assert set(cells) == {n[0] for n in nodes}
+    for x, y in rng.uniform(-40, 140, (200, 2)):
+        best = min(nodes, key=lambda n: (n[1] - x) ** 2 + (n[2] - y) ** 2)[0]
+        ring = cells[best]
+        turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(ring, ring[1:] + ring[:1])]
+        assert min(turns) >= -1e-6
+
+
+def test_pairs_of_chosen_tracks_with_static_columns(spark):
+    pts = track(spark, [(0, 0, 0), (10, 10, 10)], "a").unionByName(track(spark, [(0, 0, 10), (10, 10, 0)], "b")).unionByName(track(spark, [(0, 0, 9), (10, 10, 1)], "c"))
+    agents = spark.createDataFrame([("a", "ann"), ("b", "bob")], "agent_id string, name string")
+    ds = Dataset(points=pts, agents=agents)
+    assert ds.intersections().count() == 3
+    one = ds.intersections(tracks0=["a_T0"], tracks1=["b_T0", "a_T0"], meta_cols=["name"]).collect()
+    assert [(r.track_id_0, r.track_id_1, r.name_0, r.name_1) for r in one] == [("a_T0", "b_T0", "ann", "bob")]
+    met = ds.encounters(dist=2.0, time=60.0, tracks0=["b_T0", "c_T0"]).collect()
+    assert met and all(r.radius == r.distance / 2 and r.x == (r.x_0 + r.x_1) / 2 for r in met) and {r.track_id_0 for r in met} == {"b_T0"}
