@@ -59,7 +59,7 @@ def test_clusters_and_chains_keep_every_point(spark, duck):
     plain = duck.sql(SQL["split_st"]).df()["track_id"].nunique()
     assert got["track_id"].nunique() <= plain
     errors = QUERIES["kmeans_errors"](spark, DATA).toPandas()
-    agents = duck.sql("select count(distinct user_id) from events").fetchone()[0]
+    agents = duck.sql("select count(distinct user_id) from events").fetchall()[0][0]
     assert len(errors) == 3 * agents and (errors["inertia"] >= 0).all() and errors["silhouette"].between(-1, 1).all()
     routed = QUERIES["route_raster"](spark, DATA).toPandas()
     assert (routed.groupby("track_id")["seq"].agg(lambda v: sorted(v) == list(range(len(v))))).all() and routed["track_id"].nunique() == plain
