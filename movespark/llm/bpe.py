@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, stage
+from .common import discard, documents, lean, stage
 
 MAGIC = b"MADT0001"
 #: Longer pieces are merged one by one; NONE is above every rank.
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digest: bool = False)
                 kind = pa.string() if digest else pa.binary()
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(texts, pa.string())], names=[*keep, *names])
 
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias("__text")).mapInArrow(run, what)
+    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias("__text")).mapInArrow(lean(run), what)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, fold, stage
+from .common import discard, documents, fold, lean, stage
 from .textblock import blocks
 
 #: Terms: runs of letters and digits, A-Z lower-cased; bytes over 127 (parts of characters outside ASCII) count as letters.
@@ -28,7 +28,7 @@ _BETWEEN = np.array([not (chr(b).isalnum() and b < 128) and b < 128 for b in ran
 #: Bytes of the beginnings of longer words that are terms too: words are inflected and compounded.
 BEGINNINGS = (4, 6)
 #: Examples of a block, neighbours that vote, entries of the dense table of frequent terms, texts searched together, and the weight of a term that says nothing.
-BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 22, 128, 0.1
+BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 22, 64, 0.1
 
 
 def training(labels: DataFrame, folds: int, held: int) -> DataFrame:
@@ -117,7 +117,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         if n:
             yield packed(total, n)
 
-    parts = stage(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "df binary, n long"), "frequencies")
+    parts = stage(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(count), "df binary, n long"), "frequencies")
     tasks = parts.count()
     while tasks > 16:
         tasks = -(-tasks // 16)
@@ -192,7 +192,7 @@ class Index:
         row[often] = np.arange(len(often))
         table = np.zeros((n_blocks, len(often), BLOCK), np.float32)
         begin = np.concatenate([[0], np.cumsum(np.where(row < 0, present, 0))]).astype(np.int64)
-        example, value, at = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.float32), begin[:-1].copy()
+        example, value, at = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32), begin[:-1].copy()
         for k, (t, f) in enumerate(vectors):
             w = (1 + np.log(f)) * factor[t]
             w = (w / np.sqrt(w @ w)).astype(np.float32)
@@ -326,7 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class:
 class Judge:
     """Scores texts of a task by the index; equal texts, of which there may be many, once."""
 
-    MOST = 50_000
+    MOST = 20_000
 
     def __init__(self, index: Index):
         self.index, self.memo = index, {}
@@ -363,7 +363,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
                                              names=["doc_id", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<bigint>")
+    out = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int, evidence array<bigint>")
     held_out = fold(F.col("doc_id"), folds) == held if folds else F.lit(False)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
@@ -382,7 +382,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Dat
             found = judge(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
             yield batch.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
