@@ -268,7 +268,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     left = nodes.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
     right = nodes.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
-    close = stage(pairs.distinct().join(left, "a").join(right, "b").mapInArrow(sift, "a long, b long"), "close")
+    # nothing bounds sketches and sets: they are merged, never broadcast
+    close = stage(pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(sift, "a long, b long"), "close")
     wanted = stage(close.select(F.col("a").alias("print")).union(close.select("b")).distinct(), "wanted")
     if wanted.isEmpty():
         return close
@@ -285,8 +286,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ok.append(WHOLE * common >= PART * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = close.join(sets.select(F.col("print").alias("a"), F.col("tokens").alias("ta")), "a")
-    with_both = with_a.join(sets.select(F.col("print").alias("b"), F.col("tokens").alias("tb")), "b")
+    with_a = close.join(sets.select(F.col("print").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
+    with_both = with_a.join(sets.select(F.col("print").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
     links = stage(with_both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "verified")
     discard(sets)
     return links
@@ -316,7 +317,7 @@ def across(docs: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
     if who.isEmpty():
         return who.select(F.col("node").alias("a"), F.col("component").alias("b"))
     sets = sets_of(docs, who.select(F.col("node").alias("print")))
-    rows = in_pieces(who, "of", PIECE).join(sets.withColumnRenamed("print", "node"), "node")
+    rows = in_pieces(who, "of", PIECE).join(sets.withColumnRenamed("print", "node").hint("merge"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ["of", "i", "j"]):
