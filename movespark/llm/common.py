@@ -138,15 +138,17 @@ def in_pieces(rows: DataFrame, key: str, piece: int = 2048) -> DataFrame:
     return rows.withColumn("other", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("g", "other")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which Python processes else keep."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same work for mapInArrow, giving freed memory back to the system before and after: Python workers serve one stage after the other."""
-
-    def give_back() -> None:
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+    """The same work for mapInArrow, giving memory back before and after: Python workers serve one stage after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, fold, lean, stage
+from .common import discard, documents, fold, give_back, lean, stage
 from .textblock import blocks
 
 #: Terms: runs of letters and digits, A-Z lower-cased; bytes over 127 (parts of characters outside ASCII) count as letters.
@@ -318,6 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class:
         vocabulary = np.union1d(vocabulary, np.unique(np.concatenate([t for _, t, _ in found[lo : lo + 512]])))
     for k, (d, t, f) in enumerate(found):
         found[k] = d, np.searchsorted(vocabulary, t).astype(np.int32), f
+    give_back()
     df, n = document_frequencies(docs, vocabulary) if len(vocabulary) else (np.empty(0, np.int64), 0)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     return Index.build(found, examples, vocabulary, idf, min(max(rate, 1e-4), 0.5))
@@ -345,6 +347,13 @@ class Judge:
         return [self.memo[k] for k in keys]
 
 
+def _sent(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int) -> Broadcast:
+    """The index as a broadcast; what learning it took of the driver's memory is given back."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, held, per_class))
+    give_back()
+    return sent
+
+
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 4000) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence), one for each row of docs.
 
@@ -353,7 +362,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     among neighbours go to the example of smaller position; repeated rows get equal scores. Without labels every
     score is the smallest base rate.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, held, per_class))
+    sent = _sent(docs, labels, folds, held, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
@@ -374,7 +383,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Dat
     Null and empty texts are judged as labelled texts without terms are. Scores are made by row and not joined back by
     id, so null and repeated ids are no matter; columns of any name pass; an empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds=0, held=0, per_class=per_class))
+    sent = _sent(docs, labels, 0, 0, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
