@@ -15,7 +15,8 @@ fills enough. A pair meets at the first level at which one of the two does. So n
 
 Groups of equal segment values with SMALL members at most pair them; large groups are joined in trees by task instead.
 Where members of a large group end up in different components after that, what shares such groups is brought
-together and compared exactly across components, piece by piece, telling only a spanning forest of the links. Exact copies of a set are one node from the start.
+together: first sketches are compared, piece by piece, and what they can't rule out falls into small groups. Only
+these bring their sets and are compared exactly across components, telling only a spanning forest of the links. Exact copies of a set are one node from the start.
 """
 
 from __future__ import annotations
@@ -293,7 +294,44 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return links
 
 
-def across(docs: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
+def likely(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], drive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smallest, other) of trees over the nodes that may link across components, by the test of may_link of each driving node with all."""
+    label, width = np.arange(len(node)), np.array([len(x) for x in sketches])
+    groups = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        raw = np.frombuffer(b"".join(sketches[k] for k in at.tolist()), np.uint8).reshape(len(at), w)
+        groups[w] = at, raw, raw[:, : w // 2] ^ raw[:, w // 2 :]
+    place = np.zeros(len(node), np.int64)
+    for at, _, _ in groups.values():
+        place[at] = np.arange(len(at))
+
+    def words(rows: np.ndarray) -> np.ndarray:
+        rows = np.ascontiguousarray(rows)
+        return rows.view(U if rows.shape[-1] % 8 == 0 else np.uint8)
+
+    packed = {w: (at, words(raw), words(half)) for w, (at, raw, half) in groups.items()}
+    for x in drive.tolist():
+        w, k = int(width[x]), int(place[x])
+        # sizes that may link have sketches of one width, or of twice or half of it
+        for other, mine, theirs in ((w, 1, 1), (2 * w, 1, 2), (w // 2, 2, 1)):
+            if other not in packed:
+                continue
+            at, rows = packed[other][0], packed[other][theirs]
+            apart = np.bitwise_count(rows ^ packed[w][mine][k]).sum(1, dtype=np.int64)
+            m = n[at]
+            hit = (apart <= (m + n[x]) // 7) & (4 * m >= 3 * n[x]) & (4 * n[x] >= 3 * m) & (comp[at] != comp[x])
+            merged = np.unique(label[at[hit]])
+            if len(merged) > 1 or len(merged) and merged[0] != label[x]:
+                label[np.isin(label, merged)] = label[x]
+    order = np.lexsort((node, label))
+    head = np.ones(len(order), bool)
+    head[1:] = label[order][1:] != label[order][:-1]
+    least = node[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return least[~head], node[order][~head]
+
+
+def across(docs: DataFrame, found: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that link components whose members share a key: a spanning forest of them."""
     members = found.where("key is not null").select("key", F.col("a").alias("node"))
     members = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -314,6 +352,20 @@ def across(docs: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
     keyed = members.select("key", "component").repartition("key").sortWithinPartitions("key")
     near = components(keyed.mapInArrow(trees, "a long, b long")).select(F.col("node").alias("component"), F.col("component").alias("of"))
     who = stage(members.select("node", "component").distinct().join(near, "component"), "who")
+    if who.isEmpty():
+        return who.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ["of", "i", "j"]):
+            node, comp, n, mine = (run.column(c).to_numpy() for c in ("node", "component", "n", "mine"))
+            drive = np.arange(len(node)) if run.column("i")[0].as_py() == run.column("j")[0].as_py() else np.flatnonzero(mine == run.column("i")[0].as_py())
+            a, b = likely(node, comp, n, run.column("sketch").to_pylist(), drive)
+            yield _rows(["a", "b"], pa.array(a), pa.array(b))
+
+    small = in_pieces(who, "of", PIECE).join(nodes.select(F.col("print").alias("node"), "n", "sketch").hint("merge"), "node")
+    small = small.select("of", "i", "j", "mine", "node", "component", "n", "sketch").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j")
+    close = components(small.mapInArrow(sift, "a long, b long")).withColumnRenamed("component", "of")
+    who = stage(who.drop("of").join(close, "node"), "close")
     if who.isEmpty():
         return who.select(F.col("node").alias("a"), F.col("component").alias("b"))
     sets = sets_of(docs, who.select(F.col("node").alias("print")))
@@ -365,7 +417,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     found = candidates(docs, frequent_shingles(sets))
     links = verified(docs, found.where("b is not null").select("a", "b"), nodes)
     comps = stage(components(links), "components")
-    more = stage(across(docs, found, comps), "more")
+    more = stage(across(docs, found, comps, nodes), "more")
     if not more.isEmpty():
         comps = stage(components(links.union(more)), "components")
     discard(found)

@@ -715,6 +715,44 @@ def test_jaccard_in_large_groups(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(d).collect()} == comp
 
 
+def test_sketches_split_what_shares_large_groups(spark, monkeypatch):
+    """Texts that share passages bring their sets only if sketches leave a link possible, and no link across components is lost."""
+    rng, rows = random.Random(21), []
+    passages = [prose(rng, 14) for _ in range(6)]
+    for k in range(150):
+        rows.append((k, f"{prose(rng, 40)} {passages[k % 6]} {prose(rng, 3)} {passages[(k + 1) % 6]} {prose(rng, 40)}"))
+    rows += [(500 + k, rows[k][1] + f" {prose(rng, 4)}") for k in range(0, 150, 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets, comp = jaccard_by_hand([(*r, None) for r in rows])
+    asked, whole = [], ngram_join.sets_of
+    monkeypatch.setattr(ngram_join, "frequent_shingles", lambda _: np.empty(0, np.uint64))
+    monkeypatch.setattr(ngram_join, "sets_of", lambda docs, wanted: asked.append(wanted.count()) or whole(docs, wanted))
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(d).collect()} == comp
+    assert len(set(comp.values())) == 150 and max(asked) <= 20
+
+
+def test_likely_pairs_are_those_that_may_link():
+    from movespark.llm.textblock import blocks
+
+    rng, rows = random.Random(22), []
+    for _ in range(12):
+        base = prose(rng, rng.randint(5, 140)).split()
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = f"q{rng.randrange(10_000)}"
+            rows.append(" ".join(words))
+    s = ngram_join.Sets(next(blocks(pa.array(rows), lower=True)))
+    sketches, comp = s.sketches(), np.arange(len(rows)) // 2
+    node = np.array(rng.sample(range(10**6), len(rows)))
+    a, b = ngram_join.likely(node, comp, s.n, sketches, np.arange(len(rows)))
+    forest = ngram_join.Forest()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if comp[i] != comp[j] and ngram_join.may_link(int(s.n[i]), int(s.n[j]), sketches[i], sketches[j]):
+            forest.merge(int(node[i]), int(node[j]))
+    assert len({len(x) for x in sketches}) > 1 and sorted(zip(a.tolist(), b.tolist())) == sorted(zip(*forest.stars()))
+
+
 def test_bound_of_segments():
     """Every pair that links shares a key, whatever is taken for frequent."""
     rng = np.random.default_rng(9)
