@@ -36,6 +36,8 @@ from .textblock import Block, blocks, mixed
 SHINGLE, PART, WHOLE = 5, 75, 100
 #: Shingles met this often in a block of texts are counted over the corpus; the most frequent of them are set apart.
 IN_BLOCK, FREQUENT, MOST_FREQUENT = 4, 16, 1 << 18
+#: So are those in this many of the sets that are sampled, one in SAMPLE: however rare they are in a block.
+SAMPLED, SAMPLE = 3, 16
 LEVELS = 4
 #: Members of the largest groups of equal segment values that are paired; documents compared with one another in a piece of work.
 SMALL, PIECE = 8, 1024
@@ -133,28 +135,42 @@ def _rows(names: list[str], *cols) -> pa.RecordBatch:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Staged rows (doc_id, n, print, sketch) of documents and (token, times) of shingles frequent in a block."""
+    """Staged rows (doc_id, n, print, sketch, tokens) of documents, tokens of sampled ones only, and (token, times) of shingles frequent in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "print", "sketch", "token", "times"]
+        names = ["doc_id", "n", "print", "sketch", "tokens", "token", "times"]
         for batch in batches:
             for b, s in _text_blocks(batch):
                 k = len(s.n)
-                yield _rows(names, batch.column(0).slice(b.lo, k), pa.array(s.n), pa.array(s.print), pa.array(s.sketches(), pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()))
+                sampled = ((s.n > 0) & (s.print % SAMPLE == 0)).tolist()
+                tokens = pa.array([s.tokens[a:z].tobytes() if x else None for x, a, z in zip(sampled, s.first[:-1].tolist(), s.first[1:].tolist())], pa.binary())
+                yield _rows(names, batch.column(0).slice(b.lo, k), pa.array(s.n), pa.array(s.print), pa.array(s.sketches(), pa.binary()), tokens, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()))
                 token, times = np.unique(s.tokens, return_counts=True)
                 token, times = token[times >= IN_BLOCK].view(np.int64), times[times >= IN_BLOCK]
                 k = len(token)
-                yield _rows(names, *(pa.nulls(k, t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary())), pa.array(token), pa.array(times.astype(np.int64)))
+                yield _rows(names, *(pa.nulls(k, t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(token), pa.array(times.astype(np.int64)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return stage(texts.mapInArrow(run, f"doc_id {kind}, n long, print long, sketch binary, token long, times long"), "sets")
+    return stage(texts.mapInArrow(run, f"doc_id {kind}, n long, print long, sketch binary, tokens binary, token long, times long"), "sets")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
     """Up to MOST_FREQUENT shingles that are frequent in the corpus. Which ones decides on speed, not on results."""
+
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield _rows(["token", "t"], pa.array(token), pa.array(times.astype(np.int64)))
+
     total = sets.where("token is not null").groupBy("token").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT)
-    rows = total.orderBy(F.desc("t"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    # equal sets count once
+    sample = sets.where("tokens is not null").select("print", "tokens").dropDuplicates(["print"]).select("tokens")
+    spread = sample.mapInArrow(count, "token long, t long").groupBy("token").agg(F.sum("t").alias("t")).where(F.col("t") >= SAMPLED)
+    total = total.unionByName(spread.withColumn("t", F.col("t") * SAMPLE)).groupBy("token").agg(F.max("t").alias("t"))
+    # staged, so that the shuffle files of the counts go before keys are dealt
+    rows = stage(total.orderBy(F.desc("t"), "token").limit(MOST_FREQUENT).select("token"), "frequent").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(U)) if rows.num_rows else np.empty(0, U)
 
 

@@ -753,6 +753,19 @@ def test_likely_pairs_are_those_that_may_link():
     assert len({len(x) for x in sketches}) > 1 and sorted(zip(a.tolist(), b.tolist())) == sorted(zip(*forest.stars()))
 
 
+def test_passages_of_few_texts_in_a_block_are_frequent(spark):
+    """A passage that no block holds often is found to be frequent all the same, once for equal texts."""
+    rng = random.Random(23)
+    passage, copy = prose(rng, 30), prose(rng, 60)
+    rows = [(k, f"{prose(rng, 20)} {passage}" if k % 8 == 0 else copy if k % 8 == 1 else prose(rng, 30)) for k in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(200, "doc_id")
+    frequent = set(ngram_join.frequent_shingles(ngram_join.shingle_sets(d)).tolist())
+    from movespark.llm.textblock import blocks
+
+    s = ngram_join.Sets(next(blocks(pa.array([passage, copy]), lower=True)))
+    assert set(s.tokens[s.of == 0].tolist()) <= frequent and not set(s.tokens[s.of == 1].tolist()) & frequent
+
+
 def test_bound_of_segments():
     """Every pair that links shares a key, whatever is taken for frequent."""
     rng = np.random.default_rng(9)
