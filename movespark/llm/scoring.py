@@ -30,8 +30,8 @@ LEXICON, PLAIN, STEPS = 1 << 16, 0.1, 300
 PER_TASK = STEPS * att.TOGETHER
 #: Rounds of averaged training, by the share of windows: one in eight for common weights to begin with, then all.
 ROUNDS = (8, 1)
-#: Pairs of subwords that are kept, those met in most words, and what backing off counts as.
-PAIRS, BACK_OFF = 1 << 17, 4.0
+#: What backing off from a pair of subwords to the frequency of the second counts as.
+BACK_OFF = 4.0
 #: Not a word: white space.
 END_WORD = b"\n"
 
@@ -127,10 +127,10 @@ class Model:
         self.classes, self.within, self.weights = classes, within, weights
         self.pairs, self.pair_n, self.sums, self.sum_n = (np.zeros(1, np.int64) for _ in range(4))
 
-    def add_pairs(self, pairs: list[tuple[int, int, int]]) -> None:
-        """pairs: (subword, next subword, in how many words)."""
-        if pairs:
-            a, b, n = (np.array(c, np.int64) for c in zip(*sorted(pairs)))
+    def add_pairs(self, pairs: np.ndarray) -> None:
+        """pairs: rows (subword, next subword, in how many words)."""
+        if len(pairs):
+            a, b, n = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].T
             self.pairs, self.pair_n = a << 20 | b, n
             key = a << 20 | self.classes[b]
             order = np.argsort(key, kind="stable")
@@ -408,10 +408,11 @@ class Scorer:
             yield int(n[i]) + 1, int(known[i]), float(sums[i]), float(score[i]), [{"word": words[j], "own": own[edges[i] + j]} for j in rare.tolist()]
 
 
-def word_figures(counts: DataFrame, words: list[bytes], ranks_sent) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+def word_figures(counts: DataFrame, words: list[bytes], ranks_sent) -> tuple[dict[int, int], np.ndarray]:
     """By first subword, how many training words are not in the lexicon; and pairs of subwords inside words, by distinct words.
 
-    Both are counted over all distinct training words; there are as many firsts as subwords, and PAIRS pairs, at most.
+    Both are counted over all distinct training words. Every pair met in more than one of them is kept, three numbers each;
+    the vocabulary bounds how many there can be. One word alone tells no pair: there the model backs off.
     """
     sent = counts.sparkSession.sparkContext.broadcast(frozenset(words))
 
@@ -435,7 +436,8 @@ def word_figures(counts: DataFrame, words: list[bytes], ranks_sent) -> tuple[dic
 
     rows = stage(counts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "figures")
     first = {r.a: r.n for r in rows.where("b is null").collect()}
-    pairs = [(r.a, r.b, r.n) for r in rows.where("b is not null and n > 1").orderBy(F.desc("n"), "a", "b").limit(PAIRS).collect()]
+    found = rows.where("b is not null and n > 1").select("a", "b", "n").toArrow()
+    pairs = np.column_stack([found.column(k).to_numpy().astype(np.int64) for k in range(3)])
     discard(rows)
     return first, pairs
 

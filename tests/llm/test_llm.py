@@ -155,6 +155,25 @@ def test_model_learns_from_all_of_a_text(spark):
     assert attention.STEP == 16 and scoring.STEPS == 300
 
 
+def test_every_pair_of_subwords_is_kept(spark):
+    """However many pairs there are, each that is in more than one word has its count in the model."""
+    rng = np.random.default_rng(24)
+    parts = [t for t in sorted(scoring.public_ranks()) if len(t) >= 5 and t.isalpha() and t.islower()][:600]
+    words = sorted({b"".join(parts[k] for k in row) for row in rng.integers(0, len(parts), (150_000, 6)).tolist()})
+    counts = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "n": pa.array([1] * len(words), pa.int64())}))
+    coder = scoring.Subwords(scoring.public_ranks())
+    ids, size = coder.many(words)
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(size) - size] = False
+    go = np.flatnonzero(inner)
+    key, n = np.unique(ids[go - 1] << 20 | ids[go], return_counts=True)
+    _, pairs = scoring.word_figures(counts, [], spark.sparkContext.broadcast(scoring.public_ranks()))
+    model = scoring.Model(np.zeros(coder.size + 1, np.int64), np.zeros(coder.size + 1, np.float32), np.zeros(1, np.float32))
+    model.add_pairs(pairs)
+    assert (n > 1).sum() > 1 << 17
+    assert np.array_equal(model.pairs, key[n > 1]) and np.array_equal(model.pair_n, n[n > 1])
+
+
 def test_classes_come_from_all_windows(spark):
     """Neighbours are counted in the last window as in the first, and subwords of like neighbours share a class."""
     rng, size = random.Random(12), 3000
