@@ -328,7 +328,7 @@ def frequent_words(docs: DataFrame, most: int = 49_152, per_task: int = 65_536)
         top = [(w, n) for w, n in seen.most_common(per_task) if n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
     total = counts.agg(F.sum("n")).collect()[0][0] or 0
     # no more than 16 times the words asked for can be this frequent, which bounds what is sent to the driver

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Forest, components, discard, documents, in_pieces, runs, stage
+from .common import Forest, components, discard, documents, in_pieces, lean, runs, stage
 from .textblock import Block, blocks, mixed
 
 #: Words of a shingle; link if UNION_PART * intersection >= PART * union.
@@ -152,7 +152,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return stage(texts.mapInArrow(run, f"doc_id {kind}, n long, print long, sketch binary, tokens binary, token long, times long"), "sets")
+    return stage(texts.mapInArrow(lean(run), f"doc_id {kind}, n long, print long, sketch binary, tokens binary, token long, times long"), "sets")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -167,7 +167,7 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
     total = sets.where("token is not null").groupBy("token").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT)
     # equal sets count once
     sample = sets.where("tokens is not null").select("print", "tokens").dropDuplicates(["print"]).select("tokens")
-    spread = sample.mapInArrow(count, "token long, t long").groupBy("token").agg(F.sum("t").alias("t")).where(F.col("t") >= SAMPLED)
+    spread = sample.mapInArrow(lean(count), "token long, t long").groupBy("token").agg(F.sum("t").alias("t")).where(F.col("t") >= SAMPLED)
     total = total.unionByName(spread.withColumn("t", F.col("t") * SAMPLE)).groupBy("token").agg(F.max("t").alias("t"))
     # staged, so that the shuffle files of the counts go before keys are dealt
     rows = stage(total.orderBy(F.desc("t"), "token").limit(MOST_FREQUENT).select("token"), "frequent").toArrow()
@@ -246,9 +246,9 @@ def candidates(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         yield _rows(["key", "a", "b"], pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    keys = texts.mapInArrow(emit, "key long, print long")
+    keys = texts.mapInArrow(lean(emit), "key long, print long")
     sorted_ = keys.repartition("key").sortWithinPartitions("key", "print")
-    return stage(sorted_.mapInArrow(pair, "key long, a long, b long"), "candidates")
+    return stage(sorted_.mapInArrow(lean(pair), "key long, a long, b long"), "candidates")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield _rows(["print", "tokens"], pa.array(s.print[hit]), pa.array([s.tokens[s.first[k] : s.first[k + 1]].tobytes() for k in hit], pa.binary()))
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    return stage(texts.mapInArrow(run, "print long, tokens binary").dropDuplicates(["print"]), "tokens")
+    return stage(texts.mapInArrow(lean(run), "print long, tokens binary").dropDuplicates(["print"]), "tokens")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     left = nodes.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
     right = nodes.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
     # nothing bounds sketches and sets: they are merged, never broadcast
-    close = stage(pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(sift, "a long, b long"), "close")
+    close = stage(pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(lean(sift), "a long, b long"), "close")
     wanted = stage(close.select(F.col("a").alias("print")).union(close.select("b")).distinct(), "wanted")
     if wanted.isEmpty():
         return close
@@ -305,7 +305,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     with_a = close.join(sets.select(F.col("print").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
     with_both = with_a.join(sets.select(F.col("print").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    links = stage(with_both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "verified")
+    links = stage(with_both.select("a", "b", "ta", "tb").mapInArrow(lean(exact), "a long, b long"), "verified")
     discard(sets)
     return links
 
@@ -380,7 +380,7 @@ def across(docs: DataFrame, found: DataFrame, comps: DataFrame, nodes: DataFrame
 
     small = in_pieces(who, "of", PIECE).join(nodes.select(F.col("print").alias("node"), "n", "sketch").hint("merge"), "node")
     small = small.select("of", "i", "j", "mine", "node", "component", "n", "sketch").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j")
-    close = components(small.mapInArrow(sift, "a long, b long")).withColumnRenamed("component", "of")
+    close = components(small.mapInArrow(lean(sift), "a long, b long")).withColumnRenamed("component", "of")
     who = stage(who.drop("of").join(close, "node"), "close")
     if who.isEmpty():
         return who.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -417,7 +417,7 @@ def across(docs: DataFrame, found: DataFrame, comps: DataFrame, nodes: DataFrame
             yield _rows(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
     dealt = rows.select("of", "i", "j", "mine", "node", "component", "tokens").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, lean, stage
 from .textblock import Block
 
 KINDS = ("assign", "access", "hex", "format")
@@ -293,11 +293,11 @@ def learn(docs: DataFrame, labelled: dict[str, list[bytes]] | None = None, per_k
         yield rows(held)
 
     # what tasks found is merged in a tree, so that no task and not the driver gets more than some tasks' bounds
-    tokens = stage(docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind int, h long, token binary"), "tokens")
+    tokens = stage(docs.select(F.col("text").cast("binary")).mapInArrow(lean(run), "kind int, h long, token binary"), "tokens")
     n, most = tokens.count(), sum(bounds)
     while n > 4 * most:
         n //= 4
-        tokens = tokens.repartition(-(-n // most)).mapInArrow(merge, "kind int, h long, token binary")
+        tokens = tokens.repartition(-(-n // most)).mapInArrow(lean(merge), "kind int, h long, token binary")
     found = next(merge(iter(tokens.toArrow().to_batches())))
     taken: list[list[bytes]] = [[] for _ in KINDS]
     for kind, _, token in sorted(zip(*(c.to_pylist() for c in found.columns))):
@@ -335,7 +335,7 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[bytes]] | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -368,7 +368,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", labelled: dict[str, list[byt
                     texts[lo + t] = texts[lo + t][:s] + mark.encode() + texts[lo + t][e:]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.binary()).cast(batch.schema.field(k).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -97,8 +97,8 @@ class Block:
         return mixed(out[inside]), inside
 
 
-def blocks(texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -> Iterator[Block]:
-    """Blocks of whole texts of about BLOCK bytes; null texts are empty. `between` marks the bytes that separate words."""
+def blocks(texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE, size: int = BLOCK) -> Iterator[Block]:
+    """Blocks of whole texts of about `size` bytes; null texts are empty. `between` marks the bytes that separate words."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     if not len(texts):
         return
@@ -107,6 +107,6 @@ def blocks(texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -
     data = np.frombuffer(buf, np.uint8) if buf else np.empty(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], lo, hi, lower, between)
         lo = hi

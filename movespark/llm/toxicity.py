@@ -30,6 +30,8 @@ _BETWEEN = np.array([not (chr(b).isalnum() and b < 128) and b < 128 for b in ran
 BEGINNINGS = (4, 6)
 #: Examples of a block, neighbours that vote, entries of the dense table of frequent terms, texts searched together, and the weight of a term that says nothing.
 BLOCK, NEAREST, DENSE, TOGETHER, PLAIN = 64, 25, 1 << 22, 64, 0.1
+#: Bytes of the texts whose terms are found together: each of them takes some 50 bytes meanwhile.
+AT_ONCE = 1 << 19
 
 
 def training(labels: DataFrame, folds: int, held: int) -> DataFrame:
@@ -50,7 +52,7 @@ def labelled(rows: DataFrame, per_class: int) -> dict[int, int]:
 
 def terms_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """For blocks of texts: ascending distinct terms (hashes), and for each occurrence its text and its term; and the number of texts."""
-    for b in blocks(texts, lower=True, between=_BETWEEN):
+    for b in blocks(texts, lower=True, between=_BETWEEN, size=AT_ONCE):
         h, word = b.with_beginnings(BEGINNINGS)
         text = np.repeat(np.arange(len(b.n_words)), b.n_words)[word]
         known, term = np.unique(h, return_inverse=True)
@@ -84,7 +86,7 @@ def example_terms(docs: DataFrame, examples: dict[int, int]) -> list[tuple[int,
                 out += [(known[key[a:z] % len(known)].tobytes(), tf[a:z].astype("<u4").tobytes()) for a, z in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "tfs"])
 
-    rows = stage(one.select(F.col("doc_id").cast("long").alias("doc_id"), "m.text").mapInArrow(run, "doc_id long, terms binary, tfs binary"), "examples")
+    rows = stage(one.select(F.col("doc_id").cast("long").alias("doc_id"), "m.text").mapInArrow(lean(run), "doc_id long, terms binary, tfs binary"), "examples")
     # one partition after the other, for the driver's memory
     found = [(r.doc_id, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.tfs, "<u4").astype(np.int32)) for r in rows.toLocalIterator()]
     discard(rows)
@@ -122,7 +124,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     tasks = parts.count()
     while tasks > 16:
         tasks = -(-tasks // 16)
-        parts = parts.repartition(tasks).mapInArrow(add, "df binary, n long")
+        parts = parts.repartition(tasks).mapInArrow(lean(add), "df binary, n long")
     total, n = np.zeros(len(vocabulary), np.int64), 0
     for r in parts.collect():
         total, n = total + np.frombuffer(zlib.decompress(r.df), np.int64), n + r.n

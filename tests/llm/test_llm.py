@@ -5,12 +5,14 @@ from __future__ import annotations
 import collections
 import datetime
 import hashlib
+import inspect
 import itertools
 import json
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from movespark.llm import attention, bpe, embeddings, mixing, ngram_join, pii, quality, scoring, secrets, toxicity, urls
+from movespark.llm import attention, bpe, common, embeddings, mixing, ngram_join, pii, quality, scoring, secrets, toxicity, urls
 from movespark.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -569,6 +571,37 @@ def toxic_docs(n=600):
     return rows, labels
 
 
+def test_terms_are_counted_in_little_memory():
+    rng = np.random.default_rng(1)
+    words = [f"w{i:06d}" for i in range(30_000)]
+    rows = pa.array([" ".join(rng.choice(words, 300)).encode() for _ in range(2000)], pa.binary())
+    vocabulary = np.unique(np.concatenate([t for t, *_ in toxicity.terms_of(rows.slice(0, 500))]))
+    whole = sum(int(tf.sum()) for k in range(0, 2000, 50) for _, _, tf in toxicity.counted(rows.slice(k, 50), vocabulary))
+    tracemalloc.start()
+    total = sum(int(tf.sum()) for _, _, tf in toxicity.counted(rows, vocabulary))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == whole > 0
+    assert peak < 40e6
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """Of each Arrow function of the pipeline's stages that reads texts or sets, and of Arrow's own pool."""
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert len(released) == 2
+    for module in (toxicity, ngram_join, secrets, bpe):
+        calls = set(re.findall(r"\.mapInArrow\((\w+)", inspect.getsource(module)))
+        # the trees of components hold small integers alone
+        assert calls - {"trees"} == {"lean"}, module.__name__
+
+
 def test_toxicity_on_held_out(spark):
     rows, labels = toxic_docs()
     rows += [(900, None, None, None, None), (901, "", "", "", 0), (902, "word " * 100_000 + "idiot", "en", "s", 1)]
