@@ -153,6 +153,18 @@ class Model:
         return p
 
 
+def counted_in(held: np.ndarray, total: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their counts, with new keys counted in: these are sorted alone, then two sorted runs are merged."""
+    new, n = np.unique(new, return_counts=True)
+    keys = np.concatenate([held, new])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([total, n])[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    head = np.flatnonzero(head)
+    return keys[head], np.add.reduceat(n, head) if len(head) else n
+
+
 def neighbours(windows: DataFrame, counts: np.ndarray) -> DataFrame:
     """Staged rows (id, at, n): what stands beside each subword in all windows, and how often.
 
@@ -170,10 +182,6 @@ def neighbours(windows: DataFrame, counts: np.ndarray) -> DataFrame:
         held, total, n_held = np.empty(0, np.int64), np.empty(0, np.int64), 0
         waiting: list[np.ndarray] = []
 
-        def add(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(where, n, len(keys)).astype(np.int64)
-
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held // width), pa.array((held % width).astype(np.int32)), pa.array(total)], names=["id", "at", "n"])
 
@@ -188,15 +196,13 @@ def neighbours(windows: DataFrame, counts: np.ndarray) -> DataFrame:
                 waiting.append(x[ok] * width + column[y[ok]] + shift)
                 n_held += len(waiting[-1])
             if n_held > 250_000:
-                keys = np.concatenate(waiting)
-                held, total = add(np.concatenate([held, keys]), np.concatenate([total, np.ones(len(keys), np.int64)]))
+                held, total = counted_in(held, total, np.concatenate(waiting))
                 waiting, n_held = [], 0
                 if len(held) > 250_000:
                     yield out()
                     held, total = held[:0], total[:0]
         if waiting:
-            keys = np.concatenate(waiting)
-            held, total = add(np.concatenate([held, keys]), np.concatenate([total, np.ones(len(keys), np.int64)]))
+            held, total = counted_in(held, total, np.concatenate(waiting))
         yield out()
 
     pairs = windows.mapInArrow(run, "id long, at int, n long").groupBy("id", "at").agg(F.sum("n").alias("n"))

@@ -195,6 +195,37 @@ def test_classes_come_from_all_windows(spark):
     assert (got[2000:][begins[2000:]] < attention.STARTS - 1).any() and not hasattr(scoring, "SAMPLE")
 
 
+def test_neighbours_are_counted_by_merging():
+    rng = np.random.default_rng(4)
+    parts = [np.empty(0, np.int64), *(rng.zipf(1.2, 200_000) % 50_000_000 for _ in range(4)), np.array([7, 7, 3])]
+
+    def by_merging() -> tuple[np.ndarray, np.ndarray]:
+        held = total = np.empty(0, np.int64)
+        for part in parts:
+            held, total = scoring.counted_in(held, total, part)
+        return held, total
+
+    def by_inverse() -> tuple[np.ndarray, np.ndarray]:
+        held = total = np.empty(0, np.int64)
+        for part in parts:
+            n = np.concatenate([total, np.ones(len(part), np.int64)])
+            held, where = np.unique(np.concatenate([held, part]), return_inverse=True)
+            total = np.bincount(where, n, len(held)).astype(np.int64)
+        return held, total
+
+    def least(f) -> float:
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert dict(zip(*(x.tolist() for x in by_merging()))) == collections.Counter(np.concatenate(parts).tolist())
+    assert all((x == y).all() for x, y in zip(by_merging(), by_inverse()))
+    assert least(by_merging) < least(by_inverse)
+
+
 def test_base_scores(spark, docs):
     got = scoring.score(docs).collect()
     counts, tokens = collections.Counter(), {}
