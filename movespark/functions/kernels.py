@@ -126,30 +126,44 @@ def characteristic(x, y, t, speed, course, slow: float, turn: float, shortest: f
     return np.flatnonzero(keep)
 
 
+class Paths:
+    """Least-cost paths from a cell of a grid, eight neighbours, a diagonal step costing root two times as much.
+
+    The search goes on from where it stopped when another end is asked for.
+    """
+
+    def __init__(self, cost: np.ndarray, start: tuple[int, int]):
+        self.cost, self.start = cost, start
+        self.best, self.back, self.heap = {start: 0.0}, {}, [(0.0, start)]
+        self.done: set[tuple[int, int]] = set()
+
+    def to(self, end: tuple[int, int]) -> list[tuple[int, int]]:
+        cost, best, back, heap = self.cost, self.best, self.back, self.heap
+        rows, cols = cost.shape
+        while heap and end not in self.done:
+            d, at = heapq.heappop(heap)
+            if d > best[at]:
+                continue
+            self.done.add(at)
+            for dr in (-1, 0, 1):
+                for dc in (-1, 0, 1):
+                    to = at[0] + dr, at[1] + dc
+                    if (dr or dc) and 0 <= to[0] < rows and 0 <= to[1] < cols and np.isfinite(cost[to]) and cost[to] >= 0:
+                        new = d + (cost[at] + cost[to]) / 2 * (2**0.5 if dr and dc else 1.0)
+                        if new < best.get(to, np.inf):
+                            best[to], back[to] = new, at
+                            heapq.heappush(heap, (new, to))
+        if end not in self.done:
+            return []
+        path = [end]
+        while path[-1] != self.start:
+            path.append(back[path[-1]])
+        return path[::-1]
+
+
 def cheapest_path(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:
-    """Least-cost path between cells of a grid, eight neighbours, a diagonal step costing root two times as much."""
-    rows, cols = cost.shape
-    best, back, heap = {start: 0.0}, {}, [(0.0, start)]
-    while heap:
-        d, at = heapq.heappop(heap)
-        if at == end:
-            break
-        if d > best[at]:
-            continue
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                to = at[0] + dr, at[1] + dc
-                if (dr or dc) and 0 <= to[0] < rows and 0 <= to[1] < cols and np.isfinite(cost[to]) and cost[to] >= 0:
-                    new = d + (cost[at] + cost[to]) / 2 * (2**0.5 if dr and dc else 1.0)
-                    if new < best.get(to, np.inf):
-                        best[to], back[to] = new, at
-                        heapq.heappush(heap, (new, to))
-    if end not in best:
-        return []
-    path = [end]
-    while path[-1] != start:
-        path.append(back[path[-1]])
-    return path[::-1]
+    """Least-cost path between cells of a grid, as Paths finds it."""
+    return Paths(cost, start).to(end)
 
 
 def geodesic_azimuth(lon1, lat1, lon2, lat2) -> np.ndarray:

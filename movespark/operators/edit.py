@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.geometry import Points, crossing, edge_array, edges_of
 from ..functions.tracks import track, from_micros, micros, nxt
+from .simplify import by_tracks, whole_tracks
 
 KEY = ("agent_id", "track_no", "track_id")
 
@@ -42,36 +44,46 @@ def route_through_raster(points: DataFrame, cost: np.ndarray, x0: float, y0: flo
 
     The cost grid goes to the executors once. Times on a path are spread evenly.
     """
-    sent = points.sparkSession.sparkContext.broadcast(np.asarray(cost, float))
-    rows, cols = cost.shape
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = sent.value
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        c, r = np.rint((pdf["x"] - x0) / dx).astype(int).to_numpy(), np.rint((pdf["y"] - y0) / dy).astype(int).to_numpy()
-        inside = (c >= 0) & (c < cols) & (r >= 0) & (r < rows)
-        t = pdf["time"].to_numpy("datetime64[us]").astype(np.int64)
-        xs, ys, ts, i = [], [], [], 0
-        while i < len(pdf):
-            j = i
-            while inside[i] and j + 1 < len(pdf) and inside[j + 1]:
-                j += 1
-            path = kernels.cheapest_path(grid, (r[i], c[i]), (r[j], c[j])) if j > i else []
+    grid = np.asarray(cost, float)
+    sent = points.sparkSession.sparkContext.broadcast(grid)
+    (rows, cols), grid_size = grid.shape, grid.size
+
+    def route(x, y, c, r, inside, t, between):
+        """x, y and times of a track with its runs inside replaced."""
+        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        parts, at = [], 0
+        for i, j in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()):
+            path = between(*map(int, (r[i], c[i], r[j], c[j]))) if j > i else ()
             if len(path) > 1:
-                xs += [pdf["x"][i], *(x0 + q[1] * dx for q in path[1:-1]), pdf["x"][j]]
-                ys += [pdf["y"][i], *(y0 + q[0] * dy for q in path[1:-1]), pdf["y"][j]]
-                ts += np.linspace(t[i], t[j], len(path)).round().astype(np.int64).tolist()
-            else:
-                xs += pdf["x"][i : j + 1].tolist()
-                ys += pdf["y"][i : j + 1].tolist()
-                ts += t[i : j + 1].tolist()
-            i = j + 1
-        n = np.arange(len(xs))
-        return pd.DataFrame({"agent_id": pdf["agent_id"][0], "track_no": pdf["track_no"][0], "track_id": pdf["track_id"][0], "seq": n.astype(np.int32),
-                             "time": pd.to_datetime(np.array(ts), unit="us"), "x": np.array(xs, float), "y": np.array(ys, float), "tie": n})
+                px, py = path[:, 1], path[:, 0]
+                parts += [(x[at:i], y[at:i], t[at:i]),
+                          (np.concatenate([x[i : i + 1], x0 + px[1:-1] * dx, x[j : j + 1]]), np.concatenate([y[i : i + 1], y0 + py[1:-1] * dy, y[j : j + 1]]), np.linspace(t[i], t[j], len(path)).round().astype(np.int64))]
+                at = j + 1
+        parts.append((x[at:], y[at:], t[at:]))
+        return [np.concatenate(v) for v in zip(*parts)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a path depends on its two cells alone: a task keeps searches by where they start, and paths
+        search = functools.lru_cache(maxsize=max(1, (1 << 18) // grid_size))(lambda *start: kernels.Paths(sent.value, start))
+
+        @functools.lru_cache(maxsize=1 << 13)
+        def between(*ends: int) -> np.ndarray:
+            return np.array(search(*ends[:2]).to(ends[2:])).reshape(-1, 2)
+
+        for pdf, edges in whole_tracks(batches):
+            x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+            c, r = np.rint((x - x0) / dx).astype(int), np.rint((y - y0) / dy).astype(int)
+            inside = (c >= 0) & (c < cols) & (r >= 0) & (r < rows)
+            t = pdf["time"].to_numpy("datetime64[us]").astype(np.int64)
+            found = [route(*(v[lo:hi] for v in (x, y, c, r, inside, t)), between) for lo, hi in zip(edges, edges[1:])]
+            n = [len(f[0]) for f in found]
+            seq = np.concatenate([np.arange(k) for k in n])
+            out = pdf[list(KEY)].iloc[edges[:-1]].loc[lambda f: f.index.repeat(n)].reset_index(drop=True)
+            xs, ys, ts = (np.concatenate(v) for v in zip(*found))
+            yield out.assign(seq=seq.astype(np.int32), time=pd.to_datetime(ts, unit="us"), x=xs, y=ys, tie=seq)
 
     base = points.select(*KEY, "seq", "time", "x", "y", "tie")
-    return base.groupBy("agent_id", "track_no").applyInPandas(run, base.schema)
+    return by_tracks(base).mapInPandas(run, base.schema)
 
 
 def reduce_to_nodes(points: DataFrame, nodes: Sequence[tuple[int, float, float]], flow_col: str = "node", characteristic: str | None = None) -> DataFrame:
