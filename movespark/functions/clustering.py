@@ -7,23 +7,34 @@ from collections.abc import Sequence
 
 import numpy as np
 
+#: As many points are held with a matrix of all pairs.
+DENSE = 1024
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Labels and inertia of Lloyd's algorithm from spread-out seeds."""
+
+def seeds(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """k centres, spread out; the first ones are those of a smaller k."""
     rng = np.random.default_rng(seed)
     centres = x[[rng.integers(len(x))]]
+    d = np.full(len(x), np.inf)
     while len(centres) < k:
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
         p = d / d.sum() if d.sum() > 0 else None
         centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
+    return centres
+
+
+def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, centres: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Labels and inertia of Lloyd's algorithm from spread-out seeds."""
+    centres = seeds(x, k, seed) if centres is None else centres
     labels = None
     for _ in range(rounds):
         d = ((x[:, None] - centres[None]) ** 2).sum(2)
         new = d.argmin(1)
         if labels is not None and (new == labels).all():
             break
-        labels = new
-        centres = np.array([x[labels == j].mean(0) if (labels == j).any() else centres[j] for j in range(k)])
+        labels, n = new, np.bincount(new, minlength=k)
+        sums = np.stack([np.bincount(labels, v, k) for v in x.T], 1)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return labels, float(((x - centres[labels]) ** 2).sum())
 
 
@@ -70,13 +81,15 @@ def knee(ks: Sequence[int], values: Sequence[float]) -> int:
     return int((1 - x - y).argmax())
 
 
-def best_kmeans(x: np.ndarray, ks: Sequence[int], optimal: str, seed: int) -> tuple[np.ndarray, list[tuple]]:
-    """Labels for the best number of clusters, and (k, inertia, davies-bouldin, silhouette) for each that points allow."""
+def best_kmeans(x: np.ndarray, ks: Sequence[int], optimal: str, seed: int, scores: Sequence[str] = ("davies-bouldin", "silhouette")) -> tuple[np.ndarray, list[tuple]]:
+    """Labels for the best number of clusters, and (k, inertia, davies-bouldin, silhouette) for each that points allow; scores not asked for are NaN."""
     usable = [k for k in ks if 1 < k <= len(x)]
     if not usable:
         return np.zeros(len(x), int), []
-    tried = [kmeans(x, k, seed) for k in usable]
-    rows = [(k, e, davies_bouldin(x, lab), silhouette(x, lab)) for k, (lab, e) in zip(usable, tried)]
+    first = seeds(x, max(usable), seed)
+    tried = [kmeans(x, k, centres=first[:k]) for k in usable]
+    score = lambda name, f, lab: f(x, lab) if name in scores else float("nan")
+    rows = [(k, e, score("davies-bouldin", davies_bouldin, lab), score("silhouette", silhouette, lab)) for k, (lab, e) in zip(usable, tried)]
     at = {"davies-bouldin": lambda: int(np.argmin([r[2] for r in rows])), "silhouette": lambda: int(np.argmax([r[3] for r in rows])), "knee": lambda: knee(usable, [r[1] for r in rows])}[optimal]()
     return tried[at][0], rows
 
@@ -100,8 +113,29 @@ def _neighbours(x: np.ndarray, eps: float):
     return near
 
 
+def _dense(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """As dbscan(), from the matrix of all pairs; -1 is noise."""
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= min_samples
+    labels, k = np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if labels[i] < 0:
+            front = np.array([i])
+            labels[i] = k
+            while len(front):
+                # points that are no core join the first cluster that reaches them and lead no further
+                reached = np.flatnonzero(near[front].any(0) & (labels < 0))
+                labels[reached] = k
+                front = reached[core[reached]]
+            k += 1
+    return labels
+
+
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels from 0 in the order of the points; noise, if any, is 0 and clusters then begin at 1. Neighbours are looked up, not kept."""
+    """Labels from 0 in the order of the points; noise, if any, is 0 and clusters then begin at 1. Neighbours of many points are looked up, not kept."""
+    if len(x) <= DENSE:
+        labels = _dense(x, eps, min_samples)
+        return labels + 1 if (labels < 0).any() else labels
     near = _neighbours(x, eps)
     core = np.array([len(near(i)) >= min_samples for i in range(len(x))], bool)
     labels, k = np.full(len(x), -1), 0

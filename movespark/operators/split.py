@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import clustering, kernels
 from ..functions.geometry import distance
 from ..functions.tracks import agent, micros, seconds
+from .simplify import whole_tracks
 
 _IDS = ("track_no", "track_id", "seq")
 
@@ -65,15 +66,15 @@ def by_data(points: DataFrame, column: str, within: bool = False) -> DataFrame:
 
 
 def _assign(points: DataFrame, label) -> DataFrame:
-    """Applies label(frame) -> track numbers to each agent's points, which are one Arrow group."""
+    """Applies label(frame) -> track numbers to each agent's points. Agents are dealt by hash and sorted; a task holds a batch and the agent that goes on."""
     base = points.drop(*_IDS)
     schema = T.StructType([*base.schema.fields, T.StructField("track_no", T.IntegerType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "tie"], kind="stable").reset_index(drop=True)
-        return pdf.assign(track_no=np.asarray(label(pdf), np.int32))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, edges in whole_tracks(batches, ("agent_id",)):
+            yield pdf.assign(track_no=np.concatenate([np.asarray(label(pdf.iloc[lo:hi]), np.int32) for lo, hi in zip(edges, edges[1:])]))
 
-    return with_ids(base.groupBy("agent_id").applyInPandas(run, schema))
+    return with_ids(base.repartition("agent_id").sortWithinPartitions("agent_id", "time", "tie").mapInPandas(run, schema))
 
 
 def overlapping(points: DataFrame, time: float, dist: float) -> DataFrame:
@@ -101,7 +102,7 @@ def _features(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 def kmeans(points: DataFrame, clusters: Sequence[int] = range(2, 10), columns: Sequence[str] = ("x", "y"), optimal: str = "davies-bouldin", seed: int = 0) -> DataFrame:
     """Clusters of each agent's points in scaled features as tracks; their number is the best by a score."""
-    return _assign(points.dropna(subset=list(columns)), lambda pdf: clustering.best_kmeans(_features(pdf, columns), clusters, optimal, seed)[0])
+    return _assign(points.dropna(subset=list(columns)), lambda pdf: clustering.best_kmeans(_features(pdf, columns), clusters, optimal, seed, scores=(optimal,))[0])
 
 
 def kmeans_errors(points: DataFrame, clusters: Sequence[int] = range(2, 10), columns: Sequence[str] = ("x", "y"), seed: int = 0) -> DataFrame:
